@@ -150,3 +150,18 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, bounds[:-1][full], dtype=out.dtype)
     return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    import uuid
+
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="quernel-written-")
+    path = f"{shared.rstrip('/')}/quernel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -141,7 +141,7 @@ class Pieces:
         for i in range(1, most + 1):
             live = int(np.searchsorted(-sizes, -i, side="right"))
             todo = np.arange(live)
-            power = np.uint64(1)
+            power = np.ones(1, np.uint64)  # an array wraps round in silence
             for size in range(1, min(i, self.longest) + 1):
                 power = power * _BASE
                 j = i - size
@@ -357,7 +357,12 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_column: str = "ids",
     return encoded.mapInArrow(run, schema)
 
 
+def encoded_and_checked(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
+    """docs with ids and round_trip: whether the ids decode to the text (a null one counts as empty)."""
+    both = decode(encode(docs, model_path), model_path)
+    return both.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encoded_and_checked(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), "round_trip")
