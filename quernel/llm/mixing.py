@@ -187,7 +187,7 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", seed: int = SEED
     shards = shards_of(docs.sparkSession)
     plan = plan_mix(C.cut(sized(docs, id_column, seed)), shards, seed=seed)
     taken = mix(docs, plan, id_column, seed).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__copies").alias("__c"))
-    return taken.repartition(shards, F.col("__c.shard")).sortWithinPartitions("__c.shard", "__c.place").drop("__c")
+    return taken.repartitionById(shards, F.col("__c.shard")).sortWithinPartitions("__c.shard", "__c.place").drop("__c")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
