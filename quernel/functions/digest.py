@@ -6,6 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -20,7 +21,10 @@ def _one(text: str | None) -> str | None:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
-def canonical_digest(text: pd.Series) -> pd.Series:
-    """The digest of each JSON text; null stays null, NaN and infinities are errors."""
+def _all(text: pd.Series) -> pd.Series:
     return text.map(_one)
+
+
+def canonical_digest(text: Column) -> Column:
+    """The digest of each JSON text; null stays null, NaN and infinities are errors."""
+    return F.pandas_udf(_all, "string")(text)

@@ -381,3 +381,45 @@ def failure_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_group_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "lineitem")
     return rows.groupBy("l_orderkey").agg(F.round(rewards.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("loss"), F.max("l_tax").alias("max_kl"), F.bool_or(F.col("l_discount") > 0).alias("signal"), (F.max(F.abs(F.col("l_discount") - F.col("l_tax"))) <= 0.05).alias("parity"))
+
+
+@query()
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import documents
+
+    return documents.html_sections(t(spark, sf_dir, "pages"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, greatest(1, ceil((length(text) - 200) / 1600.0))::INT AS n FROM documents), c AS (SELECT doc_id, text, unnest(range(n)) AS k FROM s)
+SELECT doc_id, k::INT AS chunk_index, (k * 1600)::INT AS start_char, least(k * 1600 + 1800, length(text))::INT AS end_char, substr(text, k * 1600 + 1, 1800) AS chunk FROM c""")
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import documents
+
+    return documents.chunks(t(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query("""SELECT user_id, time_bucket(INTERVAL 900 SECOND, ts) AS window_start, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY ALL""")
+def failure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import failures
+
+    return failures.failure_counts(t(spark, sf_dir, "events"), "user_id")
+
+
+@query()
+def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.digest import canonical_digest
+
+    return t(spark, sf_dir, "events").select("event_id", canonical_digest(F.col("props")).alias("digest"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def duplicate_is_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    return rows.filter("n > 1").select("l_orderkey", "n")
+
+
+@query("""SELECT coalesce(d.doc_id, v.vec_id) AS id, d.doc_id IS NOT NULL AS declared, v.vec_id IS NOT NULL AS present FROM documents d FULL JOIN embeddings v ON d.doc_id = v.vec_id WHERE d.doc_id IS NULL OR v.vec_id IS NULL""")
+def manifest_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = t(spark, sf_dir, "documents").select("doc_id"), t(spark, sf_dir, "embeddings").select("vec_id")
+    both = a.join(b, F.col("doc_id") == F.col("vec_id"), "full")
+    return both.select(F.coalesce("doc_id", "vec_id").alias("id"), F.col("doc_id").isNotNull().alias("declared"), F.col("vec_id").isNotNull().alias("present")).filter("not declared or not present")
