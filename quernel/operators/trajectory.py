@@ -68,16 +68,29 @@ def with_rationales(log: DataFrame, key: list[str], order: str, is_call: Column,
     return marked.withColumn("__x", F.explode(places)).withColumns({"place": F.col("__x.p"), "inserted": F.col("__x.i")}).drop("__x", "__need")
 
 
-def char_prefix(rows: DataFrame, key: list[str], order: list[Column], size: str, budget: int, into: str = "granted") -> DataFrame:
-    """Characters that each row of a ranked list gets until the budget is spent; rows that get none go."""
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(size).over(before), F.lit(0))
-    return rows.withColumn(into, F.least(F.col(size), F.greatest(F.lit(0), F.lit(budget) - spent))).filter(F.col(into) > 0)
-
-
 def fused_head(rows: DataFrame, within: list[str], model: list[Column], value: list[Column], head: int = 10) -> DataFrame:
     """The first `head` rows by model in order of 1 / (20 + model rank) + 1.1 / (20 + value rank), the rest unchanged."""
     w = Window.partitionBy(*within)
     ranked = rows.withColumns({"__m": F.row_number().over(w.orderBy(*model)), "__v": F.row_number().over(w.orderBy(*value))})
     score = F.when(F.col("__m") <= head, F.round(1.0 / (20 + F.col("__m")) + 1.1 / (20 + F.col("__v")), 6))
     return ranked.withColumn("__s", score).withColumn("place", F.row_number().over(w.orderBy(F.col("__s").desc_nulls_last(), "__m"))).withColumnRenamed("__s", "fused").drop("__m", "__v")
+
+
+def coverage_chain(rows: DataFrame, key: list[str], order: str, level: str) -> DataFrame:
+    """The level that each row finds and leaves: a status never falls, null leaves it as it was."""
+    w = Window.partitionBy(*key).orderBy(order)
+    upto = F.max(level).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.max(level).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"level_before": F.coalesce(before, F.lit(0)), "level_after": F.coalesce(upto, F.lit(0))})
+
+
+def tool_credit(rows: DataFrame, key: list[str], order: str, covered: Column, repeated: Column, failed: Column) -> DataFrame:
+    """-.5 for a repeated action, -.25 for a failed one or one after full coverage, else 0."""
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max(covered.cast("int")).over(before), F.lit(0)) == 1
+    return rows.withColumn("credit", F.when(repeated, -0.5).when(failed | done, -0.25).otherwise(0.0))
+
+
+def masked_labels(ids: Column, boundary: Column) -> Column:
+    """Ids as labels, -100 before the boundary."""
+    return F.transform(ids, lambda x, i: F.when(i < boundary, F.lit(-100)).otherwise(x))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import judging, trajectory
+from ..operators import budget, judging, trajectory
 from .catalogue import TOKEN_SQL, t
 from .registry import query
 
@@ -186,7 +186,8 @@ def eligible_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, doc_id, CAST(least(n_chars, greatest(0, 20000 - spent)) AS BIGINT) AS granted FROM s WHERE least(n_chars, greatest(0, 20000 - spent)) > 0""")
 def char_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return trajectory.char_prefix(rows, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], "n_chars", 20000).select("source", "doc_id", "granted")
+    granted = budget.prefix_budget(rows.withColumn("rank", -F.col("n_chars")), ["source"], ["rank", "doc_id"], "n_chars", 20000)
+    return granted.filter("granted > 0").select("source", "doc_id", "granted")
 
 
 @query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 500000 END AS a, o_orderkey % 5 / 4.0 AS b, (o_orderkey % 11 / 10.0) AS c, o_orderkey % 2 = 0 AS has_b, o_orderkey % 3 - 1 AS aux, o_orderkey % 4 = 0 AS err FROM orders),
