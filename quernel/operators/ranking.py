@@ -47,3 +47,18 @@ def keep_last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def shards(rows: DataFrame, within: list[str], order: list[Column], n: int, into: str = "shard") -> DataFrame:
     """Even consecutive shards, the longer ones first."""
     return rows.withColumn(into, F.ntile(n).over(Window.partitionBy(*within).orderBy(*order)))
+
+
+def three_slots(rows: DataFrame, within: list[str], order: list[Column], reader: str, section: str, evidence: Column, pool: int = 6, third: int = 3) -> DataFrame:
+    """The best row; the reader's choice among the next `pool`; of the next `third` left, evidence in an unused section first."""
+    w = Window.partitionBy(*within)
+    ranked = rows.withColumns({"__r": F.row_number().over(w.orderBy(*order)), "__e": F.coalesce(evidence, F.lit(False))})
+    near = F.col("__r").between(2, pool + 1)
+    chosen = ranked.withColumn("__c", near & (F.row_number().over(w.orderBy(near.desc(), F.col(reader).desc_nulls_last(), "__r")) == 1))
+    used = [F.max(F.when(c, F.col(section))).over(w) for c in (F.col("__r") == 1, F.col("__c"))]
+    rest = (F.col("__r") > 1) & ~F.col("__c")
+    known = chosen.withColumns({"__q": F.sum(rest.cast("int")).over(w.orderBy("__r")), "__u": F.coalesce((F.col(section) == used[0]) | (F.col(section) == used[1]), F.lit(False)), "__rest": rest})
+    open_to = F.col("__rest") & (F.col("__q") <= third)
+    last = open_to & (F.row_number().over(w.orderBy(open_to.desc(), F.col("__e").desc(), "__u", "__r")) == 1)
+    slot = F.when(F.col("__r") == 1, 1).when(F.col("__c"), 2).when(F.col("__t"), 3)
+    return known.withColumn("__t", last).withColumn("slot", slot).filter("slot is not null").drop("__r", "__e", "__c", "__q", "__u", "__rest", "__t")

@@ -312,3 +312,37 @@ def query_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     envelope = F.translate(F.base64(F.encode("text", "UTF-8")), "+/\r\n", "-_")
     rows = t(spark, sf_dir, "benchmark").select("item_id", envelope.alias("envelope"))
     return rows.withColumn("decoded", F.decode(F.unbase64(F.translate("envelope", "-_", "+/")), "UTF-8"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_partkey, p_size, p_type AS section, p_partkey % 3 = 0 AS e, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part),
+c AS (SELECT *, r BETWEEN 2 AND 7 AND row_number() OVER (PARTITION BY p_brand ORDER BY (r BETWEEN 2 AND 7) DESC, p_size DESC, r) = 1 AS c FROM r),
+u AS (SELECT *, r > 1 AND NOT c AS rest, sum(CASE WHEN r > 1 AND NOT c THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY r) AS q, section = max(CASE WHEN r = 1 THEN section END) OVER w OR section = max(CASE WHEN c THEN section END) OVER w AS used FROM c WINDOW w AS (PARTITION BY p_brand)),
+l AS (SELECT *, rest AND q <= 3 AND row_number() OVER (PARTITION BY p_brand ORDER BY (rest AND q <= 3) DESC, e DESC, coalesce(used, false), r) = 1 AS last FROM u)
+SELECT p_brand, p_partkey, CASE WHEN r = 1 THEN 1 WHEN c THEN 2 ELSE 3 END AS slot FROM l WHERE r = 1 OR c OR last""")
+def three_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import ranking
+
+    rows = t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_type", "p_retailprice")
+    return ranking.three_slots(rows, ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], "p_size", "p_type", F.col("p_partkey") % 3 == 0).select("p_brand", "p_partkey", "slot")
+
+
+_FLAT = "trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+@query(f"""WITH g AS (SELECT conv_id, role, min(turn) AS turn, arg_min(length(text), turn) AS s FROM conversations WHERE {_FLAT} <> '' GROUP BY conv_id, role, {_FLAT}),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM g), p AS (SELECT conv_id, role, min(turn) AS t0, max(CASE WHEN n = 1 THEN s END) AS s1, max(CASE WHEN n = 2 THEN s END) AS s2, max(CASE WHEN n = 3 THEN s END) AS s3 FROM n GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t0, role) AS d FROM p), a AS (SELECT *, 600 - CASE WHEN s1 <= 600 THEN s1 ELSE 0 END AS l1 FROM d WHERE d <= 2), b AS (SELECT *, l1 - CASE WHEN s2 <= l1 THEN s2 ELSE 0 END AS l2 FROM a)
+SELECT n.conv_id, n.role, n.turn FROM n JOIN b USING (conv_id, role) WHERE (n = 1 AND s1 <= 600) OR (n = 2 AND s2 <= l1) OR (n = 3 AND s3 <= l2)""")
+def opened_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "conversations")
+    return budget.whole_chunks(rows, ["conv_id"], "role", "turn", "text", documents=2, chunks=3, total=600)
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'system' THEN NULL WHEN 'user' THEN 'search' ELSE 'browse' END AS tool, CASE WHEN role <> 'system' THEN CAST(turn AS VARCHAR) END AS top, CASE WHEN role <> 'system' THEN md5(trim(text)) END AS body FROM conversations""")
+def parsed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import markup
+
+    name = F.when(F.col("role") == "user", "search").otherwise("browse")
+    said = F.when(F.col("role") == "system", F.col("text")).otherwise(F.concat(F.lit('so <call_tool name="'), name, F.lit('" limit="'), F.col("turn"), F.lit('">'), F.col("text"), F.lit("</call_tool> then")))
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", markup.tool_call(said).alias("c"))
+    return rows.select("conv_id", "turn", F.col("c.name").alias("tool"), F.col("c.attributes")["limit"].alias("top"), F.md5("c.body").alias("body"))
