@@ -13,25 +13,31 @@ def _times(words: Column, term: str) -> Column:
 
 
 def bm25(chunks: DataFrame, terms: list[str], group: str, text: str, into: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """chunks with a BM25 score against the terms (repeated terms count again), rounded to 6 digits.
+    """chunks with a BM25 score against the terms (repeated terms count again), rounded to 6 digits."""
+    return bm25_many(chunks, {into: terms}, group, text, k1, b)
+
+
+def bm25_many(chunks: DataFrame, queries: dict[str, list[str]], group: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """chunks with a BM25 score of each query under its name; queries share one count of terms and one of groups.
 
     N, document frequencies and the mean length are those of the chunk's group. Frequencies of the few query terms
     are counted within each row, so only a row per group is shuffled besides the join back.
     """
-    distinct = sorted(set(terms))
-    words = X.tokens(F.col(text))
-    scored = chunks.withColumn("__words", words).withColumn("__len", F.size("__words"))
-    for k, term in enumerate(distinct):
-        scored = scored.withColumn(f"__f{k}", _times(F.col("__words"), term))
-    scored = scored.drop("__words")
+    distinct = sorted({term for terms in queries.values() for term in terms})
+    scored = chunks.withColumn("__words", X.tokens(F.col(text)))
+    scored = scored.withColumns({"__len": F.size("__words")} | {f"__f{k}": _times(F.col("__words"), term) for k, term in enumerate(distinct)}).drop("__words")
     stats = scored.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__f{k}") > 0).cast("int")).alias(f"__d{k}") for k in range(len(distinct))])
     both = scored.join(stats, F.col(group).eqNullSafe(F.col("__g")))
-    total = F.lit(0.0)
     norm = k1 * ((1 - b) + b * F.col("__len") / F.greatest(F.col("__avg"), F.lit(1e-9)))
-    for k, term in enumerate(distinct):
-        idf = F.log((F.col("__n") - F.col(f"__d{k}") + 0.5) / (F.col(f"__d{k}") + 0.5) + 1)
-        total = total + terms.count(term) * idf * F.col(f"__f{k}") * (k1 + 1) / (F.col(f"__f{k}") + norm)
-    return both.withColumn(into, F.round(total, 6)).drop(*[c for c in both.columns if c.startswith("__")])
+    scores = {}
+    for into, terms in queries.items():
+        total = F.lit(0.0)
+        for k, term in enumerate(distinct):
+            if term in terms:
+                idf = F.log((F.col("__n") - F.col(f"__d{k}") + 0.5) / (F.col(f"__d{k}") + 0.5) + 1)
+                total = total + terms.count(term) * idf * F.col(f"__f{k}") * (k1 + 1) / (F.col(f"__f{k}") + norm)
+        scores[into] = F.round(total, 6)
+    return both.withColumns(scores).drop(*[c for c in both.columns if c.startswith("__")])
 
 
 def blend(scored: DataFrame, group: str, parts: list[tuple[str, float]], into: str) -> DataFrame:

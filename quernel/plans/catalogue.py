@@ -47,7 +47,7 @@ blended AS (SELECT doc_id, b.source, round(CASE WHEN mf > 0 THEN 0.8 * focus_sco
 SELECT doc_id, source, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM blended) WHERE rank <= 10""")
 def focus_anchor_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    two = scoring.bm25(scoring.bm25(docs, QUESTION, "source", "text", "focus"), ANCHOR, "source", "text", "anchor").select("doc_id", "source", "focus", "anchor")
+    two = scoring.bm25_many(docs, {"focus": QUESTION, "anchor": ANCHOR}, "source", "text").select("doc_id", "source", "focus", "anchor")
     scored = scoring.blend(two, "source", [("focus", 0.8), ("anchor", 0.2)], "score").select("doc_id", "source", "score")
     return scoring.top_per_group(scored, ["source"], [F.col("score").desc(), F.col("doc_id")], 10)
 
