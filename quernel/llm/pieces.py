@@ -39,24 +39,44 @@ _SPACE = "▁"
 OUTSIDE = 1 << 20
 
 
-class Pieces:
-    """A model's pieces with the merge rule, the step condition and both directions."""
+def _proto(model: bytes):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model)
+    if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
+        raise ValueError("a BPE model with byte fallback and identity normalisation is needed")
+    return proto
+
+
+class Decoder:
+    """What decoding needs of a model."""
 
     def __init__(self, model: bytes) -> None:
-        from sentencepiece import sentencepiece_model_pb2
+        self._read(_proto(model))
 
-        proto = sentencepiece_model_pb2.ModelProto()
-        proto.ParseFromString(model)
-        if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("a BPE model with byte fallback and identity normalisation is needed")
+    def _read(self, proto) -> None:
         self.prefix = _SPACE if proto.normalizer_spec.add_dummy_prefix else ""
+        self.out = [p.piece.replace(_SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in proto.pieces]
+
+    def decode(self, ids: np.ndarray) -> str:
+        out = self.out
+        text = b"".join([out[i] for i in ids.tolist()])
+        return (text[1:] if self.prefix and text[:1] == b" " else text).decode("utf-8", "replace")
+
+
+class Pieces(Decoder):
+    """A model's pieces with the merge rule, the step condition and both directions."""
+
+    def __init__(self, model: bytes) -> None:
+        proto = _proto(model)
+        self._read(proto)
         self.rank = {p.piece: p.score for p in proto.pieces if p.type == 1}
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.longest = max(map(len, self.id))
         if any(_SPACE in p.lstrip(_SPACE) for p in self.id):
             raise ValueError("a piece has a space inside")
-        self.out = [p.piece.replace(_SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in proto.pieces]
         joined = {c for p in self.id if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in joined)
         self.runs = re.compile(f"{_SPACE}*[^{_SPACE}{alone}]+|{_SPACE}+" + (f"|[{alone}]" if alone else ""))
@@ -221,11 +241,6 @@ class Pieces:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray) -> str:
-        out = self.out
-        text = b"".join([out[i] for i in ids.tolist()])
-        return (text[1:] if self.prefix and text[:1] == b" " else text).decode("utf-8", "replace")
-
 
 class Stream:
     """Feeds text in any portions; ids come out as soon as they are certain."""
@@ -322,6 +337,11 @@ def _model(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())  # one model file
 
 
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(parts))]))
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, text_column: str = "text", into: str = "ids") -> DataFrame:
     """docs with the ids of every whole text in a new column."""
     model = _model(docs.sparkSession, model_path)
@@ -330,10 +350,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_column: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value)
         for batch in C.chunks(batches, text_column):
-            parts = pieces.encode_all(batch.column(text_column).to_pylist())
-            at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
-            flat = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(parts))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), flat)], [*batch.schema.names, into])
+            ids = _lists(pieces.encode_all(batch.column(text_column).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
@@ -344,7 +362,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_column: str = "ids",
     schema = T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
+        pieces = Decoder(model.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -359,8 +377,18 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_column: str = "ids",
 
 def encoded_and_checked(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """docs with ids and round_trip: whether the ids decode to the text (a null one counts as empty)."""
-    both = decode(encode(docs, model_path), model_path)
-    return both.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    model = _model(docs.sparkSession, model_path)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(model.value)
+        for batch in C.chunks(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            parts = pieces.encode_all(texts)
+            same = pa.array([pieces.decode(np.frombuffer(x, np.int32)) == (t or "") for x, t in zip(parts, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(parts), same], [*batch.schema.names, "ids", "round_trip"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
