@@ -33,6 +33,9 @@ CACHED_PAIRS = 500_000
 #: Runs of up to so many characters are done many at a time.
 SHORT_RUN = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+#: Slots of the piece table and of the memory of pairs, as powers of two.
+SLOT_BITS, PAIR_BITS = 18, 20
 
 _SPACE = "▁"
 #: Numbers from here on stand for single characters outside the model.
@@ -80,7 +83,9 @@ class Pieces(Decoder):
         joined = {c for p in self.id if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in joined)
         self.runs = re.compile(f"{_SPACE}*[^{_SPACE}{alone}]+|{_SPACE}+" + (f"|[{alone}]" if alone else ""))
+        self.alone = re.compile(f"[{alone}]") if alone else None
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the cache before this one: what is met again moves over
         self.pairs: dict[int, bool] = {}
         self.longest = max(map(len, self.id))
         # only pieces that the merge rule makes of their own text can stand on the path; a character always can
@@ -113,7 +118,7 @@ class Pieces(Decoder):
         return [own] if own is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
 
     def _lookup(self) -> None:
-        """Sorted hashes of the sound pieces, and an empty sorted memory of pairs."""
+        """Sorted hashes of the sound pieces with a slot table, and an empty memory of pairs."""
         names = list(self.sound)
         wide = np.zeros((len(names), self.longest), np.uint64)
         for i, name in enumerate(names):
@@ -122,32 +127,46 @@ class Pieces(Decoder):
         h = np.zeros(len(names), np.uint64)
         for k in range(self.longest):
             h = np.where(k < sizes, h * _BASE + wide[:, k] + np.uint64(1), h)
+        h = h * _SPREAD  # odd, so no two of them meet; the leading bits tell the slot
         order = np.argsort(h)
         self.hashes, self.numbers = h[order], np.array([self.sound[names[i]] for i in order], np.int64)
+        slots = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot = np.searchsorted(slots, np.arange(1 << SLOT_BITS)).astype(np.int32)
+        self.deep = int(np.bincount(slots).max())
         self.text_of = {i: p for p, i in self.sound.items()}
-        self.seen, self.fits = np.array([-1], np.int64), np.array([False])
+        self.met = np.zeros(1 << PAIR_BITS, np.int64)  # twice the last key met in each slot, plus its answer
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of sound pieces, and where these stand."""
+        h = h * _SPREAD
+        last = len(self.hashes) - 1
+        at = np.minimum(self.slot[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], last)
+        hit = self.hashes[at] == h
+        for k in range(1, self.deep):
+            after = np.minimum(at + k, last)
+            more = self.hashes[after] == h
+            at, hit = np.where(more, after, at), hit | more
+        return hit, at
 
     def _fit(self, keys: np.ndarray) -> np.ndarray:
         """The step condition for an array of pairs."""
-        at = np.minimum(np.searchsorted(self.seen, keys), len(self.seen) - 1)
-        new = np.unique(keys[self.seen[at] != keys])
-        if len(new):
-            if len(self.seen) > CACHED_PAIRS:
-                self.seen, self.fits = np.array([-1], np.int64), np.array([False])
-                new = np.unique(keys)
-            ok = []
-            for key in new.tolist():
-                left, right = self.text_of[key >> 24], self.text_of[key & 0xFFFFFF]
-                ok.append(self.merge(left + right) == [left, right])
-            both = np.concatenate((self.seen, new))
-            order = np.argsort(both, kind="stable")
-            self.seen, self.fits = both[order], np.concatenate((self.fits, ok))[order]
-            at = np.searchsorted(self.seen, keys)
-        return self.fits[at]
-
-    def _viterbi(self, runs: list[str]) -> dict[str, bytes]:
+        at = (keys.astype(np.uint64) * _SPREAD >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        got = self.met[at]
+        ok = (got & 1).astype(bool)
+        miss = np.flatnonzero(got >> 1 != keys)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            told = np.array([self._told(key) for key in new.tolist()], bool)
+            ok[miss] = told[back]
+            self.met[at[miss]] = keys[miss] << 1 | ok[miss]
+        return ok
+
+    def _told(self, key: int) -> bool:
+        ok = self.pairs.get(key)
+        return self.follows(self.text_of[key >> 24], self.text_of[key & 0xFFFFFF], key) if ok is None else ok
+
+    def _viterbi(self, runs: list[str]) -> list[bytes]:
         """The same programme as Stream's over many short runs at once, one position of all of them at a time."""
-        out: dict[str, bytes] = {}
         sizes = np.array([len(r) for r in runs])
         order = np.argsort(-sizes, kind="stable")
         sizes, runs = sizes[order], [runs[i] for i in order]
@@ -166,8 +185,7 @@ class Pieces(Decoder):
                 power = power * _BASE
                 j = i - size
                 h = prefix[todo, i] - prefix[todo, j] * power
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
+                hit, at = self._find(h)
                 if j:
                     hit &= ends[todo, j] >= 0
                 rows, own = todo[hit], self.numbers[at[hit]]
@@ -189,8 +207,11 @@ class Pieces(Decoder):
             path[rows, most - count[rows]] = ends[rows, at[rows]]
             at[rows] = back[rows, at[rows]]
             rows = rows[at[rows] > 0]
-        for r in range(n):
-            out[runs[r]] = path[r, most - count[r] :].tobytes() if whole[r] else self._streamed(runs[r])
+        flat = path[np.arange(most) >= (most - count)[:, None]].tobytes()
+        stops = (4 * np.cumsum(count)).tolist()
+        out: list[bytes] = [b""] * n
+        for place, run, ok, a, b in zip(order.tolist(), runs, whole.tolist(), [0, *stops], stops, strict=False):
+            out[place] = flat[a:b] if ok else self._streamed(run)
         return out
 
     def _streamed(self, run: str) -> bytes:
@@ -199,23 +220,38 @@ class Pieces(Decoder):
 
     def _learn(self, words: set[str]) -> None:
         """Puts the ids of space-led words into the cache."""
-        split = {w: self.runs.findall(_SPACE + w) for w in words}
-        runs = {r for parts in split.values() for r in parts}
-        short = [r for r in runs if len(r) <= SHORT_RUN]
-        done: dict[str, bytes] = {}
+        kept = self.old
+        fresh = []
+        for w in words:
+            own = kept.get(w)
+            if own is None:
+                fresh.append(w)
+            else:
+                self.cache[w] = own
+        apart = [w for w in fresh if self.alone.search(w)] if self.alone else []
+        split = {w: self.runs.findall(_SPACE + w) for w in apart}
+        whole = [w for w in fresh if w not in split] if split else fresh
+        runs = [_SPACE + w for w in whole]
+        runs += {r for parts in split.values() for r in parts}
+        short = [k for k, r in enumerate(runs) if len(r) <= SHORT_RUN]
+        done: list[bytes | None] = [None] * len(runs)
         for a in range(0, len(short), 1 << 15):
-            done |= self._viterbi(short[a : a + (1 << 15)])
-        for r in runs:
-            if r not in done:
-                done[r] = self._streamed(r)
+            part = short[a : a + (1 << 15)]
+            for k, ids in zip(part, self._viterbi([runs[k] for k in part]), strict=True):
+                done[k] = ids
+        for k, ids in enumerate(done):
+            if ids is None:
+                done[k] = self._streamed(runs[k])
+        self.cache.update(zip(whole, done, strict=False))
+        of_run = dict(zip(runs[len(whole) :], done[len(whole) :], strict=True))
         for w, parts in split.items():
-            self.cache[w] = b"".join([done[r] for r in parts])
+            self.cache[w] = b"".join([of_run[r] for r in parts])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as int32 bytes."""
         split = [t.split(" ") if t else [] for t in texts]
-        if len(self.cache) > CACHED_RUNS:
-            self.cache.clear()
+        if len(self.cache) > CACHED_RUNS // 2:
+            self.old, self.cache = self.cache, {}
         # a word of no characters joins the spaces around it: such texts are cut by the pattern instead
         plain = [bool(w) and "" not in w and _SPACE not in t and bool(self.prefix) for w, t in zip(split, texts, strict=True)]
         new = {w for words, ok in zip(split, plain, strict=True) if ok for w in words if w not in self.cache}
