@@ -31,6 +31,8 @@ KEEP_AT = 0.2
 #: Words at which a text's own frequencies weigh as much as the mean text's: short texts are judged with care.
 SHORT = 60
 MAX_LABELLED = 3000
+#: Bytes of text that are scored at once: the arrays of a chunk take about a hundred times as much.
+SCORED_BYTES = 256 << 10
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -103,7 +105,7 @@ def _parts(batch: pa.RecordBatch, column: str, powers: C.Powers):
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = C.Powers()
-    for batch in C.chunks(batches):
+    for batch in C.chunks(batches, most=SCORED_BYTES):
         parts = _parts(batch, "text", powers)
         families, size = _families(*parts), np.diff(parts[4]).astype(np.int64)
         at, value = [], []
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: tuple[bytes, float, float] | None, keep_at: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = C.Powers()
         w = np.frombuffer(model[0], np.float64) if model else None
-        for batch in C.chunks(batches, text_column):
+        for batch in C.chunks(batches, text_column, SCORED_BYTES):
             parts = _parts(batch, text_column, powers)
             base = _base(batch.column(text_column).to_pylist(), *parts)
             failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
