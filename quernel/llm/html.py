@@ -1,13 +1,14 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
-A page is cut into blocks. A block inside the article (or main) element is kept; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments (by element, or by the words of class, id and role) are
-not. What is left outside any article is judged by its host: the token streams of the host's pages, kept and dropped
-chrome included, are joined, their suffixes sorted to the depth of RUN tokens by prefix doubling, and every run of at
-least RUN tokens that stands on two distinct pages is boilerplate. Covered runs are removed, unique runs stay.
+A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments (by element, or by the words of class, id and role) are dropped; text of an article (or main) element is kept.
+All else is judged by its host: the token streams of the host's pages are joined and their suffixes sorted to the depth
+of RUN tokens by prefix doubling. Boilerplate is a run of at least RUN tokens, or a whole shorter block, that stands on
+at least LEAST pages and on one page in SHARE of the host. It is removed, everything else stays. Dropped blocks count
+as places of a run for text outside articles only: a list of headlines in a sidebar must not take the headline from
+its article. Pages of a host with the same kept text count as one page, so copies of a page are no boilerplate.
 
-A host's pages go in shards of about SHARD pages, so a host of any size is many groups; boilerplate of a whole host
-stands in each of its shards.
+A host whose pages have more than SHARD_CHARS characters is cut into shards, each judged by itself.
 
 Defined cases: null or empty html gives an empty text; truncated mark-up ends where the text ends; a null url is a
 host of its own, and each such page too; repeated rows count as one page; all text of a page is read.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-RUN = 4
-SHARD = 200
+RUN = 20
+LEAST = 3
+SHARE = 5
+SHARD_CHARS = 8 << 20
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -129,13 +132,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each page's tokens whether they lie in a run of at least `run` tokens that another page has too."""
-    sizes = np.array([len(s) for s in streams])
-    names: dict[str, int] = {}
-    flat = np.concatenate([np.array([names.setdefault(t, len(names)) for t in s] + [-1], np.int64) for s in streams]) if streams else np.zeros(0, np.int64)
-    page = np.repeat(np.arange(len(streams)), sizes + 1)
-    flat[flat < 0] = len(names) + page[flat < 0]  # a separator of its own for each page
+def _ranks(flat: np.ndarray, run: int) -> np.ndarray:
+    """The rank of each suffix of flat among all, sorted to the depth of `run` tokens."""
     n = len(flat)
     rank, depth = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
     while depth < run and n:
@@ -144,69 +142,166 @@ def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
         ahead[: n - step] = rank[step:]
         rank = np.unique(rank * (n + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
         depth += step
-    order = np.argsort(rank, kind="stable")  # the suffixes, sorted to `run` tokens; equal ones by place
-    ranked, pages = rank[order], page[order]
-    hit = np.zeros(n + 1, np.int64)
-    if n:
-        group = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
-        many = np.maximum.reduceat(pages, first) != np.minimum.reduceat(pages, first)
-        at = order[many[group]]
-        ends = np.cumsum(sizes + 1) - 1
-        at = at[at + run <= ends[page[at]]]
-        np.add.at(hit, at, 1)
-        np.add.at(hit, at + run, -1)
-    cover = np.cumsum(hit)[:-1] > 0
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1] if len(sizes) else []
-    return [cover[b : b + s] for b, s in zip(begin, sizes, strict=True)]
-
-
-def _judge(group: pd.DataFrame) -> pd.DataFrame:
-    """One shard of a host: the unique runs of its undecided blocks."""
-    group = group.drop_duplicates("rid").sort_values("rid")
-    streams = [[t for x in texts for t in x.split()] for texts in group["texts"]]
-    rows: list[tuple[int, int, str]] = []
-    for rid, kinds, numbers, texts, cover in zip(group["rid"], group["kinds"], group["numbers"], group["texts"], covered(streams), strict=True):
-        at = 0
-        for kind, number, text in zip(kinds, numbers, texts, strict=True):
-            tokens = text.split()
-            stay = [t for t, c in zip(tokens, cover[at : at + len(tokens)], strict=True) if not c]
-            at += len(tokens)
-            if kind == "u" and stay:
-                rows.append((rid, number, " ".join(stay)))
-    return pd.DataFrame(rows, columns=["rid", "number", "text"])
+    return rank
+
+
+def _flat(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbered tokens of all streams, a separator of its own after each, and the stream of every place."""
+    names: dict[str, int] = {}
+    flat = np.concatenate([np.array([names.setdefault(t, len(names)) for t in s] + [-1], np.int64) for s in streams]) if streams else np.zeros(0, np.int64)
+    stream = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
+    flat[flat < 0] = len(names) + stream[flat < 0]
+    return flat, stream
+
+
+def _windows(streams: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, stream and class of every run of `run` tokens within a stream; equal runs have one class."""
+    flat, stream = _flat(streams)
+    ends = np.cumsum([len(s) + 1 for s in streams]) - 1 if streams else np.zeros(0, np.int64)
+    at = np.arange(len(flat))
+    at = at[at + run <= ends[stream]] if len(flat) else at
+    return at, stream[at], _ranks(flat, run)[at]
+
+
+def _pages_of(owner: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
+    """For each class below n the number of distinct owners that have it."""
+    owners = int(owner.max(initial=0)) + 1
+    return np.bincount(np.unique(classes * owners + owner) // owners, minlength=n)
+
+
+def _cover(at: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
+    hit = np.zeros(total + 1, np.int64)
+    np.add.at(hit, at, 1)
+    np.add.at(hit, at + sizes, -1)
+    return np.cumsum(hit)[:-1] > 0
+
+
+def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
+    """For each page's tokens whether they lie in a run of at least `run` tokens that another page has too."""
+    at, page, classes = _windows(streams, run)
+    many = _pages_of(page, classes, int(classes.max(initial=-1)) + 1) > 1
+    at = at[many[classes]]
+    cover = _cover(at, np.full(len(at), run), sum(len(s) + 1 for s in streams))
+    begin = np.cumsum([0] + [len(s) + 1 for s in streams])
+    return [cover[b : b + len(s)] for b, s in zip(begin, streams, strict=False)]
+
+
+class Units:
+    """The runs of RUN tokens and the shorter whole blocks of a shard's distinct pages, and those of `given` besides.
+
+    A stream is a stretch of a page's blocks that are all dropped or all kept. Given units stand in streams of no page.
+    """
+
+    def __init__(self, pages: list[tuple[list[str], list[str]]], given: list[str]) -> None:
+        self.streams: list[list[str]] = []
+        self.blocks: list[tuple[int, int, int, str, int]] = []  # page, number in it, place, kind, tokens
+        owner, dropped, place, small = [], [], 0, []
+        names: dict[str, int] = {}
+        for page, (kinds, texts) in enumerate(pages):
+            before = None
+            for number, (kind, text) in enumerate(zip(kinds, texts, strict=True)):
+                if (kind == "d") != before:
+                    before = kind == "d"
+                    place += bool(self.streams)  # the separator
+                    self.streams.append([])
+                    owner.append(page)
+                    dropped.append(before)
+                tokens = text.split()
+                if len(tokens) < RUN:
+                    small.append((names.setdefault(text, len(names)), page, before, place, len(tokens)))
+                self.blocks.append((page, number, place, kind, len(tokens)))
+                self.streams[-1].extend(tokens)
+                place += len(tokens)
+        self.pages, self.total = len(pages), place + bool(self.streams)
+        asked = [u[1:].split() for u in given if u[0] == "r"]
+        at, stream, rank = _windows(self.streams + asked, RUN)
+        own = stream < len(self.streams)
+        classes, rank = np.unique(rank, return_inverse=True)
+        runs = len(classes)
+        of_given = iter(rank[~own].tolist())  # one window each, in order
+        self.given = [next(of_given) if u[0] == "r" else runs + names.setdefault(u[1:], len(names)) for u in given]
+        self.texts = list(names)
+        small = np.array(small, np.int64).reshape(-1, 5)
+        stream, at, rank = stream[own], at[own], rank[own]
+        self.classes = np.concatenate((rank, runs + small[:, 0]))
+        self.owner = np.concatenate((np.array(owner, np.int64)[stream], small[:, 1]))
+        self.dropped = np.concatenate((np.array(dropped, bool)[stream], small[:, 2] > 0))
+        self.at = np.concatenate((at, small[:, 3]))
+        self.sizes = np.concatenate((np.full(len(at), RUN), small[:, 4]))
+        self.runs, n = runs, runs + len(names)
+        self.everywhere = _pages_of(self.owner, self.classes, n)
+        self.kept = _pages_of(self.owner[~self.dropped], self.classes[~self.dropped], n)
+
+    def named(self, classes: np.ndarray) -> list[str]:
+        """The given names of classes: r and a run's tokens, or b and a block's text."""
+        first = np.full(len(self.everywhere), -1, np.int64)
+        runs = self.classes < self.runs
+        first[self.classes[runs]] = self.at[runs]
+        flat = [t for s in self.streams for t in (*s, "")]
+        return ["r" + " ".join(flat[first[c] : first[c] + RUN]) if c < self.runs else "b" + self.texts[c - self.runs] for c in classes.tolist()]
+
+    def main_texts(self, bad: np.ndarray, bad_kept: np.ndarray) -> list[str]:
+        """The text of each page without the units of the classes in bad, and in articles of those in bad_kept."""
+        covers = [_cover(self.at[b], self.sizes[b], self.total) for b in (bad[self.classes], bad_kept[self.classes])]
+        flat = [t for s in self.streams for t in (*s, "")]
+        out: list[list[str]] = [[] for _ in range(self.pages)]
+        for page, _, place, kind, n in self.blocks:
+            if kind != "d":
+                cover = covers[kind == "a"][place : place + n]
+                stay = [t for t, c in zip(flat[place : place + n], cover, strict=True) if not c] if cover.any() else flat[place : place + n]
+                if stay:
+                    out[page].append(" ".join(stay))
+        return ["\n".join(lines) for lines in out]
+
+
+def _distinct(group: pd.DataFrame) -> pd.DataFrame:
+    """The first page of each kept text."""
+    return group.sort_values("rid", kind="stable").drop_duplicates("same")
+
+
+def _units(group: pd.DataFrame, given: list[str]) -> Units:
+    return Units(list(zip(group["kinds"], group["texts"], strict=True)), given)
+
+
+def _apply(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The main texts of a shard's pages."""
+    if group.empty:
+        return pd.DataFrame(columns=["page_id", "url", "text"], dtype=object)
+    pages = _distinct(group)
+    units = _units(pages, list(asked["unit"]))
+    need = max(LEAST, -(-units.pages // SHARE))
+    bad, bad_kept = units.everywhere >= need, np.zeros(len(units.kept), bool)  # articles stay whole
+    texts = dict(zip(pages["same"], units.main_texts(bad, bad_kept), strict=True))
+    return group[["page_id", "url"]].assign(text=group["same"].map(texts))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every page."""
     rid = F.xxhash64("page_id", "url", "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.concat(F.lit("?"), rid.cast("string")))
-    named = pages.select(rid.alias("rid"), "page_id", "url", host.alias("host"), "html")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+    # at most one row for every SHARD_CHARS characters
+    sizes = C.cut(pages.select(host.alias("h"), F.char_length("html").alias("n")).groupBy("h").agg(F.ceil(F.sum("n") / SHARD_CHARS).cast("int").alias("shards")).filter("shards > 1"))
+    named = pages.select(rid.alias("rid"), "page_id", "url", host.alias("host"), "html")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.chunks(batches, "html"):
-            own: tuple[list, ...] = ([], [], [], [], [], [])
-            for page in batch.column("html").to_pylist():
-                found = blocks(page) if page else []
-                for column, value in zip(own, ([i for i, b in enumerate(found) if b[0] == "a"], [b[1] for b in found if b[0] == "a"], [i for i, b in enumerate(found) if b[0] != "a"], [b[0] for b in found if b[0] != "a"], [b[1] for b in found if b[0] != "a"], 0), strict=True):
-                    column.append(value)
-            ints, texts = pa.list_(pa.int32()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "page_id", "url", "host")), *(pa.array(c, t) for c, t in zip(own[:5], (ints, texts, ints, texts, texts), strict=True))], ["rid", "page_id", "url", "host", "at", "article", "numbers", "kinds", "texts"])
-
-    parsed = named.mapInArrow(cut, f"rid long, page_id {kinds['page_id']}, url {kinds['url']}, host string, at array<int>, article array<string>, numbers array<int>, kinds array<string>, texts array<string>")
-    # pages are parsed again rather than kept: only the text outside articles is moved
-    sizes = pages.select(host.alias("h")).groupBy("h").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    outside = parsed.filter(F.size("texts") > 0).select("rid", "host", "numbers", "kinds", "texts")
-    dealt = outside.join(sizes, F.col("host") == F.col("h")).withColumn("shard", F.pmod("rid", "shards"))
-    unique = dealt.groupBy("host", "shard").applyInPandas(_judge, "rid long, number int, text string")
-    extra = C.cut(unique.groupBy("rid").agg(F.collect_list(F.struct("number", "text")).alias("more")).withColumnRenamed("rid", "r"))
-    own = F.transform(F.arrays_zip(F.col("at").alias("number"), F.col("article").alias("text")), lambda b: F.struct(b["number"].alias("number"), b["text"].alias("text")))
-    open_ = F.array_contains("kinds", "u")
-    decided = parsed.filter(~open_).select("page_id", "url", F.array_join("article", "\n").alias("text"))
-    judged = parsed.filter(open_).select("rid", "page_id", "url", own.alias("own")).join(extra, F.col("rid") == F.col("r"), "left")
-    ordered = F.array_sort(F.concat("own", F.coalesce("more", F.array().cast("array<struct<number:int,text:string>>"))))
-    return decided.union(judged.select("page_id", "url", F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("text")))
+            found = [blocks(page) if page else [] for page in batch.column("html").to_pylist()]
+            texts = pa.list_(pa.string())
+            own = [pa.array([[b[k] for b in page] for page in found], texts) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "page_id", "url", "host", "shards")), *own], ["rid", "page_id", "url", "host", "shards", "kinds", "texts"])
+
+    def dealt(how: str) -> DataFrame:
+        with_shards = named.join(F.broadcast(sizes), F.col("host") == F.col("h"), how).select("rid", "page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
+        parsed = with_shards.mapInArrow(cut, f"rid long, page_id {kinds['page_id']}, url {kinds['url']}, host string, shards int, kinds array<string>, texts array<string>")
+        kept = F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] != "d")
+        # what is kept, block by block: copies meet in one shard
+        same = F.sha2(F.to_json(kept).cast("binary"), 256)
+        return parsed.withColumn("same", same).withColumn("shard", F.pmod(F.xxhash64("same"), "shards").cast("int"))
+
+    key = ["host", "shard"]
+    bad = pages.sparkSession.createDataFrame([], "host string, unit string, kept boolean, shard int")
+    return dealt("left").groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(_apply, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

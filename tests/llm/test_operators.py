@@ -77,6 +77,7 @@ def test_mix_descends_keys(spark, docs, monkeypatch):
     test_mix_meets_its_targets(spark, docs)
 
 
+
 # --- WARC
 
 
@@ -207,6 +208,22 @@ def test_top_k_equals_brute_force(spark):
     assert vafile.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def host_pages(spark, host, texts):
+    """Pages of a host as (page_id, url, html)."""
+    return spark.createDataFrame([(i, f"http://{host}/{i}", f"<body>{x}</body>") for i, x in enumerate(texts)], "page_id long, url string, html string")
+
+
+
+def test_prose_outside_articles_stays(spark):
+    quoted, prose = words(12), [words(40) for _ in range(10)]
+    texts = [f"<div>{p[:90]} {quoted if i in (2, 5, 7) else ''} {p[90:]}</div>" for i, p in enumerate(prose)]
+    texts += [texts[0]] * 4  # copies of a page
+    sidebar = f"<aside><p>{words(25)}</p></aside>"
+    got = {r["page_id"]: r["text"] for r in html.extract(host_pages(spark, "p", [x + sidebar for x in texts])).collect()}
+    assert got == {i: " ".join(x[5:-6].split()) for i, x in enumerate(texts)}
+
+
+
 # --- pseudonyms
 
 
