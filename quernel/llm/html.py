@@ -1,8 +1,8 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
 A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, or by the words of class, id and role) are dropped; text of an article (or main) element is kept.
-All else is judged by its host: the token streams of the host's pages are joined and their suffixes sorted to the depth
+comments (by element, or by the words of class, id and role) are dropped. All else, inside an article (or main) element
+or not, is judged by its host: the token streams of the host's pages are joined and their suffixes sorted to the depth
 of RUN tokens by prefix doubling. Boilerplate is a run of at least RUN tokens, or a whole shorter block, that stands on
 at least LEAST pages and on one page in SHARE of the host. It is removed, everything else stays. Dropped blocks count
 as places of a run for text outside articles only: a list of headlines in a sidebar must not take the headline from
@@ -270,7 +270,7 @@ def _apply(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     pages = _distinct(group)
     units = _units(pages, list(asked["unit"]))
     need = max(LEAST, -(-units.pages // SHARE))
-    bad, bad_kept = units.everywhere >= need, np.zeros(len(units.kept), bool)  # articles stay whole
+    bad, bad_kept = units.everywhere >= need, units.kept >= need
     texts = dict(zip(pages["same"], units.main_texts(bad, bad_kept), strict=True))
     return group[["page_id", "url"]].assign(text=group["same"].map(texts))
 

@@ -213,6 +213,12 @@ def host_pages(spark, host, texts):
     return spark.createDataFrame([(i, f"http://{host}/{i}", f"<body>{x}</body>") for i, x in enumerate(texts)], "page_id long, url string, html string")
 
 
+def test_unmarked_notices_leave_articles(spark):
+    notice, share = words(30), "Share this text"
+    prose = [words(40) for _ in range(10)]
+    got = {r["page_id"]: r["text"] for r in html.extract(host_pages(spark, "n", [f"<article><p>{p}</p><p>{notice} {i}</p><p>{share}</p></article>" for i, p in enumerate(prose)])).collect()}
+    assert got == {i: f"{p}\n{i}" for i, p in enumerate(prose)}
+
 
 def test_prose_outside_articles_stays(spark):
     quoted, prose = words(12), [words(40) for _ in range(10)]
