@@ -8,7 +8,9 @@ at least LEAST pages and on one page in SHARE of the host. It is removed, everyt
 as places of a run for text outside articles only: a list of headlines in a sidebar must not take the headline from
 its article. Pages of a host with the same kept text count as one page, so copies of a page are no boilerplate.
 
-A host whose pages have more than SHARD_CHARS characters is cut into shards, each judged by itself.
+A host whose pages have more than SHARD_CHARS characters is cut into shards, and its counts are those of all shards: a
+run on one page in SHARE of the host is on one in SHARE of some shard, so the shards' own such runs are all the
+candidates; each shard counts them all, and the sums decide. The result doesn't depend on the shards.
 
 Defined cases: null or empty html gives an empty text; truncated mark-up ends where the text ends; a null url is a
 host of its own, and each such page too; repeated rows count as one page; all text of a page is read.
@@ -263,14 +265,35 @@ def _units(group: pd.DataFrame, given: list[str]) -> Units:
     return Units(list(zip(group["kinds"], group["texts"], strict=True)), given)
 
 
+def _propose(group: pd.DataFrame) -> pd.DataFrame:
+    """The units on one page in SHARE of a shard."""
+    units = _units(_distinct(group), [])
+    return pd.DataFrame({"host": group["host"].iloc[0], "unit": np.array(units.named(np.flatnonzero(units.everywhere * SHARE >= units.pages)), object)})
+
+
+def _count(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """How many pages of a shard have each candidate, kept or not and kept; the empty unit counts the pages."""
+    if group.empty:
+        return pd.DataFrame(columns=["host", "unit", "everywhere", "kept"], dtype=object)
+    given = list(asked["unit"])
+    units = _units(_distinct(group), given)
+    rows = pd.DataFrame({"unit": ["", *given], "everywhere": [units.pages, *units.everywhere[units.given]], "kept": [units.pages, *units.kept[units.given]]})
+    return rows.assign(host=group["host"].iloc[0])[["host", "unit", "everywhere", "kept"]]
+
+
 def _apply(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The main texts of a shard's pages."""
+    """The main texts of a shard's pages; asked: the boilerplate of its host, unless the host is one shard."""
     if group.empty:
         return pd.DataFrame(columns=["page_id", "url", "text"], dtype=object)
     pages = _distinct(group)
     units = _units(pages, list(asked["unit"]))
-    need = max(LEAST, -(-units.pages // SHARE))
-    bad, bad_kept = units.everywhere >= need, units.kept >= need
+    if group["shards"].iloc[0] > 1:
+        bad, bad_kept = np.zeros((2, len(units.everywhere)), bool)
+        bad[units.given] = True
+        bad_kept[np.array(units.given, np.int64)[asked["kept"].to_numpy(bool)]] = True
+    else:
+        need = max(LEAST, -(-units.pages // SHARE))
+        bad, bad_kept = units.everywhere >= need, units.kept >= need
     texts = dict(zip(pages["same"], units.main_texts(bad, bad_kept), strict=True))
     return group[["page_id", "url"]].assign(text=group["same"].map(texts))
 
@@ -299,8 +322,20 @@ def extract(pages: DataFrame) -> DataFrame:
         same = F.sha2(F.to_json(kept).cast("binary"), 256)
         return parsed.withColumn("same", same).withColumn("shard", F.pmod(F.xxhash64("same"), "shards").cast("int"))
 
-    key = ["host", "shard"]
+    key, counts = ["host", "shard"], "host string, unit string, everywhere long, kept long"
+
+    def of_shards(units: DataFrame) -> DataFrame:
+        return units.join(F.broadcast(sizes), F.col("host") == F.col("h")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("h", "shards")
+
     bad = pages.sparkSession.createDataFrame([], "host string, unit string, kept boolean, shard int")
+    if not sizes.isEmpty():
+        large = dealt("inner").select(*key, "rid", "kinds", "texts", "same")
+        asked = of_shards(large.groupBy(*key).applyInPandas(_propose, "host string, unit string").distinct())
+        counted = large.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_count, counts).groupBy("host", "unit").agg(F.sum("everywhere").alias("everywhere"), F.sum("kept").alias("kept"))
+        counted = C.cut(counted)
+        need = counted.filter("unit = ''").select(F.col("host").alias("g"), F.greatest(F.lit(LEAST), F.ceil(F.col("kept") / SHARE)).alias("need"))
+        bad = counted.filter("unit <> ''").join(F.broadcast(need), F.col("host") == F.col("g")).filter("everywhere >= need").select("host", "unit", (F.col("kept") >= F.col("need")).alias("kept"))
+        bad = of_shards(bad).select("host", "unit", "kept", "shard")
     return dealt("left").groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(_apply, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 

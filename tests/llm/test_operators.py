@@ -229,6 +229,17 @@ def test_prose_outside_articles_stays(spark):
     assert got == {i: " ".join(x[5:-6].split()) for i, x in enumerate(texts)}
 
 
+def test_shards_of_a_host_count_together(spark, monkeypatch):
+    often, seldom, line = words(24), words(24), "Read more here"
+    texts = [f"<p>{words(30)}</p>" + (f"<p>{often}</p>" if i % 4 == 0 else "") + (f"<p>{seldom}</p>" if i % 6 == 0 else "") + (f"<article>{line}</article>" if i % 2 else f"<aside>{line}</aside>" if i % 3 else f"<p>{line}</p>") for i in range(60)]
+    pages = host_pages(spark, "s", texts)
+    one = plain(html.extract(pages))
+    assert all(often not in r[2] and line not in r[2] for r in one) and sum(seldom in r[2] for r in one) == 10
+    monkeypatch.setattr(html, "SHARD_CHARS", 800)
+    assert plain(html.extract(pages)) == one
+    unlike = [words(30) for _ in range(40)]  # no candidates
+    assert plain(html.extract(host_pages(spark, "v", [f"<p>{x}</p>" for x in unlike]))) == plain(spark.createDataFrame([(i, f"http://v/{i}", x) for i, x in enumerate(unlike)], "a long, b string, c string"))
+
 
 # --- pseudonyms
 
