@@ -3,8 +3,9 @@
 Every row has a keyed 62-bit key within its source; that is the source's permutation. A source is cut into blocks,
 equal ranges of keys, in proportion to its words. A source whose target is e times its words plus a rest gives e whole
 passes over its blocks and a last pass that ends within one block; the place is found by descending the key's digits
-with one aggregation a level, so no task ever orders a source. Inside the last group of keys, rows are taken in key
-order where they still fit the rest, which leaves less than the smallest row that was passed over.
+with one aggregation a level, so no task ever orders a source. A source's descent ends when its own group of keys has at
+most GROUP_ROWS rows. Inside this last group, rows are taken in key order where they still fit the rest, which leaves
+less than the smallest row of the group that was passed over.
 
 The blocks of all sources (their exact quotas) are split among output shards by a binary tree: at each node the blocks
 that go left are a multivariate-hypergeometric draw. A shard then owns a range of positions of each source's
@@ -110,33 +111,34 @@ def plan_mix(rows: DataFrame, shards: int, weights=WEIGHTS, share: Fraction = SH
     passes = [int(t // s) if s else 0 for t, s in zip(targets, sizes, strict=True)]
     rest = [int(t - e * s) for t, e, s in zip(targets, passes, sizes, strict=True)]
     low = [0] * len(sources)
-    # descend to groups of keys of about GROUP_ROWS rows
+    # descend in each source to a group of keys of at most GROUP_ROWS rows
     level = max(1, int(np.log2(max(2, HISTOGRAM // max(1, len(sources))))))
-    depth, most = 0, max((r["n"] for r in totals), default=0)
+    depth, within = [0] * len(sources), [r["n"] for r in totals]
     live = [i for i, r in enumerate(rest) if r > 0]
     left = {i: rest[i] for i in live}
     spark = rows.sparkSession
-    while live and most > GROUP_ROWS and depth + level <= KEY_BITS:
-        depth, most = depth + level, most >> level
-        width = 1 << (KEY_BITS - depth)
-        params = spark.createDataFrame([(sources[i], i, low[i]) for i in live], "s string, i int, low long")
+    while deep := [i for i in live if within[i] > GROUP_ROWS and depth[i] + level <= KEY_BITS]:  # all at one depth
+        for i in deep:
+            depth[i] += level
+        width = 1 << (KEY_BITS - depth[deep[0]])
+        params = spark.createDataFrame([(sources[i], i, low[i]) for i in deep], "s string, i int, low long")
         near = rows.join(F.broadcast(params), F.col("__source").eqNullSafe(F.col("s")))  # MAX_SOURCES rows at most
         digit = F.floor((F.col("__key") - F.col("low")) / F.lit(width)).cast("long")
         inside = near.filter((F.col("__key") >= F.col("low")) & (F.col("__key") - F.col("low") < F.lit(width << level)))
-        counts: dict[int, list] = {i: [] for i in live}
-        for r in inside.groupBy("i", digit.alias("d")).agg(F.sum("__size").alias("words")).collect():
-            counts[r["i"]].append((r["d"], r["words"]))
-        for i in live:
-            for d, words in sorted(counts[i]):
+        counts: dict[int, list] = {i: [] for i in deep}
+        for r in inside.groupBy("i", digit.alias("d")).agg(F.sum("__size").alias("words"), F.count("*").alias("n")).collect():
+            counts[r["i"]].append((r["d"], r["words"], r["n"]))
+        for i in deep:
+            for d, words, n in sorted(counts[i]):
                 if words > left[i]:
                     low[i] += d * width
+                    within[i] = n
                     break
                 left[i] -= words
     also: list[list[int]] = [[] for _ in sources]
     if live:
-        width = 1 << (KEY_BITS - depth)
-        params = spark.createDataFrame([(sources[i], i, low[i]) for i in live], "s string, i int, low long")
-        near = rows.join(F.broadcast(params), F.col("__source").eqNullSafe(F.col("s"))).filter((F.col("__key") >= F.col("low")) & (F.col("__key") - F.col("low") < F.lit(width)))
+        params = spark.createDataFrame([(sources[i], i, low[i], 1 << (KEY_BITS - depth[i])) for i in live], "s string, i int, low long, width long")
+        near = rows.join(F.broadcast(params), F.col("__source").eqNullSafe(F.col("s"))).filter((F.col("__key") >= F.col("low")) & (F.col("__key") - F.col("low") < F.col("width")))
         ends: dict[int, list] = {i: [] for i in live}
         for r in near.groupBy("i", "__key").agg(F.sum("__size").alias("words")).collect():
             ends[r["i"]].append((r["__key"], r["words"]))

@@ -77,6 +77,18 @@ def test_mix_descends_keys(spark, docs, monkeypatch):
     test_mix_meets_its_targets(spark, docs)
 
 
+def test_a_hot_source_leaves_small_sources_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 128)
+    rows = [(i, "w " * (200 if i % 100 == 0 else R.randint(2, 6)), f"s{i // 100}") for i in range(800)] + [(1000 + i, "w " * 3 + str(i), "hot") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(C.cut(mixing.sized(docs)), 4, stop=1000)
+    got = mixing.mix(docs, plan).select("source", "__size", F.size("__copies").alias("n")).collect()
+    for source, target, passes in zip(plan.sources, plan.targets, plan.passes, strict=True):
+        if source != "hot":
+            own = [r for r in got if r["source"] == source]
+            passed_over = [r["__size"] for r in own if r["n"] == passes]
+            assert 0 <= target - sum(r["n"] * r["__size"] for r in own) < min(passed_over) + 1
+
 
 # --- WARC
 
