@@ -3,8 +3,8 @@
 Components become integers floor(64 x). Equal vectors are one entry that keeps the KEEP smallest ids (no query can
 need more of them). The file holds for each entry the cell of each component, a byte-wide index into at most CELLS equal
 ranges; scanning it gives each query a lower and an upper bound of every inner product. The kth greatest lower
-bound is a floor for the kth result, so only entries whose upper bound reaches it can be results. Their exact vectors
-are read in order of falling upper bound until the kth exact score is certain.
+bound is a floor for the kth result, so only entries whose upper bound reaches it can be results. The exact
+vectors of all of these are read in one pass, in no order and without an early stop.
 
 Queries go in blocks of QUERY_BLOCK distinct vectors (a bounded broadcast each), against all rows.
 
