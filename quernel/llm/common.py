@@ -96,6 +96,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def squeezed(data: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes with each stretch of white space as one space, and where each byte of data (and the end) then stands."""
+    sep = _IS_SEP[data]
+    keep = ~sep
+    keep[1:] |= ~sep[:-1]
+    place = np.concatenate(([0], np.cumsum(keep)))
+    return np.where(sep, np.uint8(32), data)[keep].tobytes(), place
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores in front until no column of the frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the public SplitMix64 finaliser)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

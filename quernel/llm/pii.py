@@ -23,7 +23,6 @@ from . import common as C
 ROUNDS = 8
 KEY_SETTING = "spark.quernel.pii.key"
 
-_FOUND = "__quernel_found"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
@@ -163,15 +162,15 @@ def _with_key(replaced, key: str):
 def pseudonymise(docs: DataFrame, key: str | None = None, text_column: str = "text") -> DataFrame:
     """docs with the personal data of every whole text replaced."""
     key = key_of(docs.sparkSession) if key is None else key
-    out = docs
+    out, name = docs, C.free_name("__found", docs)
     for pattern, sign, replaced in ((EMAIL, "@", _email), (NUMBER, "[0-9]", pseudonym)):
         text = F.col(f"`{text_column}`")
         # a column of its own, so that each text is searched once; a text without the sign isn't searched
-        out = out.withColumn(_FOUND, F.when(text.rlike(sign), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-        found, gaps = F.col(_FOUND), F.split(text, pattern, -1)
+        out = out.withColumn(name, F.when(text.rlike(sign), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+        found, gaps = F.col(name), F.split(text, pattern, -1)
         new = F.transform(found, _with_key(replaced, key))
         joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), new, lambda gap, x: F.concat(gap, x)), ""), F.element_at(gaps, -1))
-        out = out.withColumn(text_column, F.when(F.size(found) > 0, joined).otherwise(text)).drop(_FOUND)
+        out = out.withColumn(text_column, F.when(F.size(found) > 0, joined).otherwise(text)).drop(name)
     return out
 
 

@@ -3,7 +3,7 @@
 Words and characters are hashed as n-grams (word 1- and 2-grams, character 3-grams) into one space of DIM
 buckets; a text's feature is the relative frequency of a bucket within its family, drawn towards the mean in short texts. A logistic regression is
 trained on at most `max_labelled` labelled rows (the bounded, documented sample: those whose doc_id hashes
-smallest), calibrated by Platt's sigmoid on a held-out fifth of them, and applied to every whole text in Arrow
+smallest), calibrated by Platt's sigmoid on a held-out fifth of each class, and applied to every whole text in Arrow
 batches against a fixed threshold.
 
 Defined cases: a null or empty text has no words and fails the base rule; rows labelled null, or twice with
@@ -59,6 +59,36 @@ def _families(data: np.ndarray, offsets: np.ndarray, starts, ends, first, hashes
     return out
 
 
+def _in_repeats(data, starts, ends, first, hashes) -> np.ndarray:
+    """For each word whether it is in a window of REPEAT_WINDOW words that its text has twice or more.
+
+    Hashes only propose windows; those that agree are compared word by word.
+    """
+    windows = C.gram_hashes(hashes, REPEAT_WINDOW)
+    covered = np.zeros(len(hashes) + 1, np.int64)
+    raw = place = None
+    for d in np.flatnonzero(np.diff(first) > REPEAT_WINDOW):
+        a, b = first[d], first[d + 1] - REPEAT_WINDOW + 1
+        order = np.argsort(windows[a:b], kind="stable")
+        ranked = windows[a:b][order]
+        same = np.zeros(len(ranked), bool)
+        equal = ranked[1:] == ranked[:-1]
+        same[1:] |= equal
+        same[:-1] |= equal
+        if not same.any():
+            continue
+        if raw is None:
+            raw, place = C.squeezed(data)
+        at = order[same] + a
+        found: dict[bytes, list[int]] = {}
+        for k, x, y in zip(at.tolist(), place[starts[at]].tolist(), place[ends[at + REPEAT_WINDOW - 1]].tolist(), strict=True):
+            found.setdefault(raw[x:y], []).append(k)
+        at = np.array([k for places in found.values() if len(places) > 1 for k in places], np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + REPEAT_WINDOW, -1)
+    return np.cumsum(covered)[:-1] > 0
+
+
 def _base(texts: list, data, offsets, starts, ends, first, hashes) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -69,25 +99,7 @@ def _base(texts: list, data, offsets, starts, ends, first, hashes) -> dict[str,
         if text and "\n" in text:
             lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
             dup[i] = len(lines) - len(set(lines))
-    windows = C.gram_hashes(hashes, REPEAT_WINDOW)
-    repeat = np.zeros(n, np.int64)
-    ok = C.inside(first, REPEAT_WINDOW, len(hashes))
-    covered = np.zeros(len(hashes) + 1, np.int64)
-    for d in np.flatnonzero(np.diff(first) > REPEAT_WINDOW):
-        a, b = first[d], first[d + 1] - REPEAT_WINDOW + 1
-        own = windows[a:b]
-        order = np.argsort(own, kind="stable")
-        ranked = own[order]
-        same = np.zeros(len(ranked), bool)
-        equal = ranked[1:] == ranked[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-        at = order[same] + a
-        if len(at):
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + REPEAT_WINDOW, -1)
-    assert len(ok) == len(windows)
-    repeat = C.sums((np.cumsum(covered)[:-1] > 0).astype(np.int64), first)
+    repeat = C.sums(_in_repeats(data, starts, ends, first, hashes).astype(np.int64), first)
     return {
         "n_words": np.diff(first).astype(np.int64),
         "word_chars": word_chars.astype(np.int64),
@@ -167,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     found = got.mapInArrow(_featurise, "y int, key long, size long, at binary, value binary").collect()
     found.sort(key=lambda r: (r["key"], bytes(r["at"]), bytes(r["value"])))
     y = np.array([r["y"] for r in found], np.float64)
-    if len(y) < 10 or not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y):
         return None
     x = np.zeros((len(y), DIM), np.float32)
     for i, r in enumerate(found):
@@ -176,11 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     mean = x.mean(axis=0)
     size = np.array([r["size"] for r in found], np.float32)
     x = (x - mean) / scale * (size / (size + SHORT))[:, None]
-    held = np.arange(len(y)) % 5 == 0
-    if not 0 < y[~held].sum() < (~held).sum() or not 0 < y[held].sum() < held.sum():
-        held = np.zeros(len(y), bool)
-    w, b = _fit(x[~held], y[~held])
-    a, c = _platt(x[held] @ w + b, y[held]) if held.any() else (1.0, 0.0)
+    # every fifth row of each class is held out; a class of one row both trains and calibrates
+    held, fits = np.zeros(len(y), bool), np.ones(len(y), bool)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        held[own[::5]] = True
+        if len(own) > 1:
+            fits[own[::5]] = False
+    w, b = _fit(x[fits], y[fits])
+    a, c = _platt(x[held] @ w + b, y[held])
     w = (a * w / scale).astype(np.float64)
     return w.tobytes(), a * b + c, float(mean.astype(np.float64) @ w)
 

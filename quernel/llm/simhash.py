@@ -43,11 +43,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     if not len(starts):
         return out
-    sep = C._IS_SEP[data]
-    keep = ~sep
-    keep[1:] |= ~sep[:-1]
-    place = np.concatenate(([0], np.cumsum(keep)))
-    raw = np.where(sep, np.uint8(32), data)[keep].tobytes()
+    raw, place = C.squeezed(data)
     words = np.diff(first)
     take = np.maximum(words - SHINGLE + 1, (words > 0).astype(np.int64))
     bounds = np.concatenate(([0], np.cumsum(take)))
@@ -134,13 +130,15 @@ def grouped(marked: DataFrame, least: Column) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each group: the one of the least doc_id stays."""
+    name = C.free_name("__row", docs)
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     with_row = docs.select("doc_id", row.alias("__row"), "text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     marked = C.cut(fingerprints(with_row, "doc_id", "__row"))
-    stay = grouped(marked, rank).select(F.col("best.id").alias("__id"), F.col("best.row").alias("__r")).distinct()
-    kept = docs.withColumn("__row", row).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = grouped(marked, rank).select(F.col("best.id").alias("id"), F.col("best.row").alias("row")).distinct().alias("stay")
+    named = docs.withColumn(name, row).alias("docs")
+    kept = named.join(stay, F.col("docs.doc_id").eqNullSafe(F.col("stay.id")) & (F.col(f"docs.{name}") == F.col("stay.row")), "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
