@@ -1,21 +1,27 @@
 """Merkle fixity audit of WARC archives.
 
-Pages become WARC records, dealt to archives of RECORDS consecutive page ids and laid out in order of page id. A leaf
-is the SHA-256 of a record's offset range and bytes; a node covers FANOUT consecutive ranges and is the SHA-256 of
-their digests, in order, up to one root an archive. Two replicas are compared root by root; only below a root that
-differs are the next level's nodes compared, and so on, until the records that differ are located. Untouched branches
-are never descended into.
+Pages become WARC records, dealt to archives of RECORDS consecutive page ids. A record's place in its archive is its
+slot (page_id modulo RECORDS), so a record that is lost, added or of another length moves no other record's place. A leaf
+is the SHA-256 of a record's size, number of equal copies and SHA-256; a node is the SHA-256 of the sizes and digests of
+its children in order, so it vouches for an ordered range of bytes; the levels are slots, FANOUT slots, the archive.
+A slot of very many records (repeated page ids) gets further levels by leading digits of the records' digests, as many
+as keep a node near FULL children in either replica.
+
+Two replicas are compared root by root; only below a root that differs are the next level's nodes compared, and so on,
+until the records that differ are located. Untouched branches are never descended into. A node's offset is its parent's
+plus the sizes of the siblings before it, so offsets are worked out on the way down, for mismatching branches only.
 
 `read_warc` reads archive files (found by Content-Length, so a payload may hold anything) and `write_warc` writes them
 through Spark's own writer, so any file system that Spark knows serves.
 
 Defined cases: a null url or html counts as empty; pages without an id go to archives of their own, by a hash of their
-content; a record that only one replica holds is located like a changed one; repeated rows are records of their own;
-an empty table has no archives.
+content; a changed record is located as one that only the first replica holds and one that only the second holds;
+equal copies of a record are one leaf with their number; an empty table has no archives.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +32,10 @@ from . import common as C
 
 RECORDS = 256
 FANOUT = 16
-LEVELS = 2  # FANOUT ** LEVELS == RECORDS
+#: Records of one slot that are children of one node; beyond, digits of their digests make levels between.
+FULL = 256
 DATE = "1970-01-01T00:00:00Z"
+KEY = ["archive", "part", "path"]
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -41,54 +49,69 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def leaves(pages: DataFrame) -> DataFrame:
-    """archive, seq, page_id, at, size, digest of every record."""
+    """archive, part (the slot), path (the record's SHA-256), page_id, n (equal copies), size (of all), digest."""
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
     lost = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1 << 40))
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / RECORDS).cast("long"), lost).alias("archive"), F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("size"))
-    order = Window.partitionBy("archive").orderBy("page_id", "sha")
-    placed = rows.withColumns({"seq": F.row_number().over(order) - 1, "at": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    leaf = F.sha2(F.concat_ws(":", F.col("at").cast("string"), F.col("size").cast("string"), F.col("sha")), 256)
-    return placed.select("archive", "seq", "page_id", "at", "size", leaf.alias("digest"))
-
-
-def parents(nodes: DataFrame) -> DataFrame:
-    """The next level up: archive, seq, digest."""
-    up = nodes.groupBy("archive", F.floor(F.col("seq") / FANOUT).cast("int").alias("seq"))
-    return up.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("k"), "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
-
-
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """The levels from the leaves to the roots."""
-    levels = [leaf.select("archive", "seq", "digest")]
-    for k in range(LEVELS):
-        levels.append(parents(levels[-1]) if k == 0 else C.cut(parents(levels[-1])))
-    # an archive of repeated ids may be longer than RECORDS: its root joins what nodes are left
-    top = levels[-1].groupBy("archive").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
-    return [*levels, top.select("archive", F.lit(0).alias("seq"), "digest")]
-
-
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """archive, seq of the nodes of one level that the replicas don't agree on."""
-    x = a.select("archive", "seq", F.col("digest").alias("left"))
-    y = b.select("archive", "seq", F.col("digest").alias("right"))
-    return x.join(y, ["archive", "seq"], "full").filter(~F.col("left").eqNullSafe(F.col("right"))).select("archive", "seq")
+    archive = F.coalesce(F.floor(F.col("page_id") / RECORDS).cast("long"), lost)
+    slot = F.coalesce(F.pmod(F.col("page_id"), F.lit(RECORDS)), F.lit(0)).cast("int")
+    rows = pages.select("page_id", archive.alias("archive"), slot.alias("part"), F.sha2(text, 256).alias("path"), F.octet_length(text).cast("long").alias("size"))
+    found = rows.groupBy(*KEY).agg(F.first("page_id").alias("page_id"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    return found.withColumn("digest", F.sha2(F.concat_ws(":", F.col("size").cast("string"), F.col("n").cast("string"), F.col("path")), 256))
+
+
+def _up(level: int, deep: int) -> tuple[Column, Column]:
+    """Part and path of the parent of a node of this level: records, digits of digests, slots, FANOUT slots, archive."""
+    part, path = F.col("part"), F.lit("")
+    if level < deep:
+        path = F.substring("path", 1, deep - level)
+    elif level == deep + 1:
+        part = F.floor(part / FANOUT).cast("int")
+    elif level > deep + 1:
+        part = F.lit(0)
+    return part, path
+
+
+def tree(leaf: DataFrame, deep: int = 0) -> list[DataFrame]:
+    """The levels (archive, part, path, size, digest) from the leaves to the roots."""
+    levels = [leaf.select(*KEY, "size", "digest")]
+    for level in range(deep + 3):
+        part, path = _up(level, deep)
+        child = levels[-1].select("archive", part.alias("up"), path.alias("way"), F.struct("part", "path", "size", "digest").alias("c"))
+        told = F.transform(F.array_sort(F.collect_list("c")), lambda c: F.concat(c["size"].cast("string"), F.lit(":"), c["digest"], F.lit(";")))
+        up = child.groupBy("archive", "up", "way").agg(F.sum("c.size").alias("size"), F.sha2(F.array_join(told, ""), 256).alias("digest"))
+        levels.append(C.cut(up.select("archive", F.col("up").alias("part"), F.col("way").alias("path"), "size", "digest")))
+    return levels
+
+
+def _deep(*leaf: DataFrame) -> int:
+    """How many levels of digits the fullest slot of the replicas needs."""
+    most = max(x.groupBy("archive", "part").count().agg(F.max("count")).first()[0] or 0 for x in leaf)
+    return max(0, math.ceil(math.log(max(most, 1) / FULL, FANOUT)))
 
 
 def audit(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaves() of two replicas. The roots (archive, root, replica_root), and the located records (archive, seq)."""
-    one, two = tree(first), tree(second)
-    top = len(one) - 1
-    roots = one[top].select("archive", F.col("digest").alias("root")).join(two[top].select("archive", F.col("digest").alias("replica_root")), "archive", "full")
-    bad = differing(one[top], two[top])
-    for level in range(top - 1, -1, -1):
-        if level == top - 1:
-            of, parent = bad.select(F.col("archive").alias("p"), F.lit(None).cast("int").alias("q")), None
-        else:
-            of, parent = bad.select(F.col("archive").alias("p"), F.col("seq").alias("q")), F.floor(F.col("seq") / FANOUT).cast("int")
-        on = (F.col("archive") == F.col("p")) if parent is None else (F.col("archive") == F.col("p")) & (parent == F.col("q"))
-        a, b = (x.join(of, on, "left_semi") for x in (one[level], two[level]))
-        bad = differing(a, b)
-    return roots, bad
+    """leaves() of two replicas. The roots (archive, root, replica_root) and the located records.
+
+    A located record: archive, slot, sha, at and replica_at, of which one is null if only one replica holds it.
+    """
+    deep = _deep(first, second)
+    one, two = tree(first, deep), tree(second, deep)
+    roots = one[-1].select("archive", F.col("digest").alias("root")).join(two[-1].select("archive", F.col("digest").alias("replica_root")), "archive", "full")
+    bad = None
+    for level in range(len(one) - 1, -1, -1):
+        sides = []
+        for nodes, own, at in ((one[level], "left", "at"), (two[level], "right", "replica_at")):
+            if bad is None:
+                placed = nodes.withColumn(at, F.lit(0).cast("long"))
+            else:
+                part, path = _up(level, deep)
+                start = bad.select(F.col("archive").alias("a"), F.col("part").alias("p"), F.col("path").alias("w"), F.coalesce(at, F.lit(0)).alias("start"))
+                below = nodes.join(start, (F.col("archive") == F.col("a")) & (part == F.col("p")) & (path == F.col("w")))
+                siblings = Window.partitionBy("a", "p", "w").orderBy("part", "path").rowsBetween(Window.unboundedPreceding, -1)
+                placed = below.withColumn(at, F.col("start") + F.coalesce(F.sum("size").over(siblings), F.lit(0)))
+            sides.append(placed.select(*KEY, F.col("digest").alias(own), at))
+        bad = sides[0].join(sides[1], KEY, "full").filter(~F.col("left").eqNullSafe(F.col("right"))).select(*KEY, "at", "replica_at")
+    return roots, bad.select("archive", F.col("part").alias("slot"), F.col("path").alias("sha"), "at", "replica_at")
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
@@ -125,41 +148,53 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A second replica for the audit to find fault with: the last character of some pages' html is another one."""
-    hit = (F.col("page_id") % 97 == 13) & (F.length("html") > 0)
-    return pages.withColumn("html", F.when(hit, F.concat(F.expr("substr(html, 1, length(html) - 1)"), F.lit("#"))).otherwise(F.col("html")))
+    """A second replica for the audit to find fault with: records changed in place, longer, shorter, lost and added."""
+    kind = F.col("page_id") % 97
+    changed = (
+        F.when((kind == 13) & (F.length("html") > 0), F.concat(F.expr("substr(html, 1, length(html) - 1)"), F.lit("#")))
+        .when(kind == 40, F.concat(F.coalesce("html", F.lit("")), F.lit("more")))
+        .when((kind == 66) & (F.length("html") > 3), F.expr("substr(html, 1, length(html) - 3)"))
+        .otherwise(F.col("html"))
+    )
+    there = pages.filter(F.coalesce(kind != 81, F.lit(True))).withColumn("html", changed)
+    return there.union(pages.filter(kind == 7).withColumn("html", F.lit("added")))
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per archive its size, both roots and the pages whose records differ between the table and a damaged replica."""
     pages = C.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     first, second = C.cut(leaves(pages)), C.cut(leaves(damaged(pages)))
     roots, bad = audit(first, second)
-    located = bad.join(first, ["archive", "seq"]).groupBy("archive").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("pages"))
-    sizes = first.groupBy("archive").agg(F.count("*").alias("n_records"), F.sum("size").alias("n_bytes"))
+    slots = bad.select("archive", (F.col("archive") * RECORDS + F.col("slot")).alias("page_id")).distinct()
+    located = slots.groupBy("archive").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("pages"))
+    sizes = first.groupBy("archive").agg(F.sum("n").alias("n_records"), F.sum("size").alias("n_bytes"))
     out = sizes.join(roots, "archive").join(located, "archive", "left")
     return out.select("archive", "n_records", "n_bytes", "root", "replica_root", F.coalesce("n", F.lit(0)).cast("long").alias("n_bad"), F.coalesce("pages", F.lit("")).alias("bad_pages"))
 
 
-def _tree_sql(html: str, name: str) -> str:
+def _tree_sql(source: str, name: str) -> str:
     return f"""
-{name}_text AS (SELECT page_id, page_id // {RECORDS} AS archive, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: {DATE}' || chr(13) || chr(10)
+{name}_text AS (SELECT page_id // {RECORDS} AS archive, page_id % {RECORDS} AS slot, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: {DATE}' || chr(13) || chr(10)
   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
   || 'Content-Length: ' || strlen(coalesce(body, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(body, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
-  FROM (SELECT page_id, url, {html} AS body FROM pages)),
-{name}_rec AS (SELECT page_id, archive, sha256(rec) AS sha, strlen(rec) AS size FROM {name}_text),
-{name}_placed AS (SELECT *, row_number() OVER w - 1 AS seq, sum(size) OVER w - size AS start FROM {name}_rec WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha ROWS UNBOUNDED PRECEDING)),
-{name}_leaf AS (SELECT archive, seq, page_id, size, sha256(CAST(start AS BIGINT) || ':' || size || ':' || sha) AS digest FROM {name}_placed),
-{name}_1 AS (SELECT archive, seq // {FANOUT} AS seq, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM {name}_leaf GROUP BY ALL),
-{name}_2 AS (SELECT archive, seq // {FANOUT} AS seq, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM {name}_1 GROUP BY ALL),
-{name}_root AS (SELECT archive, sha256(string_agg(digest, '' ORDER BY seq)) AS root FROM {name}_2 GROUP BY archive)"""
+  FROM ({source})),
+{name}_leaf AS (SELECT archive, slot, sha256(rec) AS sha, count(*) AS n, CAST(sum(strlen(rec)) AS BIGINT) AS size FROM {name}_text GROUP BY ALL),
+{name}_digest AS (SELECT *, sha256(size || ':' || n || ':' || sha) AS digest FROM {name}_leaf),
+{name}_1 AS (SELECT archive, slot, CAST(sum(size) AS BIGINT) AS size, sha256(string_agg(size || ':' || digest || ';', '' ORDER BY sha)) AS digest FROM {name}_digest GROUP BY ALL),
+{name}_2 AS (SELECT archive, slot // {FANOUT} AS part, CAST(sum(size) AS BIGINT) AS size, sha256(string_agg(size || ':' || digest || ';', '' ORDER BY slot)) AS digest FROM {name}_1 GROUP BY ALL),
+{name}_root AS (SELECT archive, sha256(string_agg(size || ':' || digest || ';', '' ORDER BY part)) AS root FROM {name}_2 GROUP BY archive)"""
+
 
+_DAMAGED = """SELECT page_id, url, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN html[:-2] || '#' WHEN page_id % 97 = 40 THEN coalesce(html, '') || 'more'
+  WHEN page_id % 97 = 66 AND length(html) > 3 THEN html[:-4] ELSE html END AS body FROM pages WHERE page_id % 97 <> 81
+  UNION ALL SELECT page_id, url, 'added' FROM pages WHERE page_id % 97 = 7"""
 
 OP2_SQL = f"""
-WITH {_tree_sql("html", "a")}, {_tree_sql("CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN html[:-2] || '#' ELSE html END", "b")},
-bad AS (SELECT a.archive, count(*) AS n, string_agg(CAST(a.page_id AS VARCHAR), ',' ORDER BY a.page_id) AS pages
-  FROM a_leaf a JOIN b_leaf b USING (archive, seq) WHERE a.digest <> b.digest GROUP BY a.archive)
-SELECT l.archive, count(*) AS n_records, CAST(sum(l.size) AS BIGINT) AS n_bytes, a.root, b.root AS replica_root,
+WITH {_tree_sql("SELECT page_id, url, html AS body FROM pages", "a")}, {_tree_sql(_DAMAGED, "b")},
+slots AS (SELECT DISTINCT archive, archive * {RECORDS} + slot AS page_id FROM a_digest a FULL JOIN b_digest b USING (archive, slot, sha) WHERE a.digest IS DISTINCT FROM b.digest),
+bad AS (SELECT archive, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM slots GROUP BY archive)
+SELECT l.archive, CAST(sum(l.n) AS BIGINT) AS n_records, CAST(sum(l.size) AS BIGINT) AS n_bytes, a.root, b.root AS replica_root,
   coalesce(any_value(bad.n), 0) AS n_bad, coalesce(any_value(bad.pages), '') AS bad_pages
-FROM a_leaf l JOIN a_root a USING (archive) JOIN b_root b USING (archive) LEFT JOIN bad USING (archive)
+FROM a_digest l JOIN a_root a USING (archive) JOIN b_root b USING (archive) LEFT JOIN bad USING (archive)
 GROUP BY l.archive, a.root, b.root
 """
