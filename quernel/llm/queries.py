@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op2_warc_fixity": warc.OP2_SQL, "op6_exact_top_k": vafile.OP6_SQL}
+ORACLE_SQL = {"op2_warc_fixity": warc.OP2_SQL, "op3_substring_dedup": substrings.OP3_SQL, "op6_exact_top_k": vafile.OP6_SQL}

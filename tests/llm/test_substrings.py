@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import common as C
 from quernel.llm import substrings as S
@@ -55,3 +56,32 @@ def test_empty_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(None, long), (7, long), (7, long)], "doc_id long, text string")
     assert {(r["doc_id"], r["n_removed"]) for r in S.remove_repeats(rows).collect()} == {(None, 0), (7, 0)}
+
+
+def removed(spark, rows, schema="doc_id long, text string"):
+    return sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in S.remove_repeats(spark.createDataFrame(rows, schema)).collect())
+
+
+def test_words_decide_not_hashes(spark):
+    a, b = "a", "b"  # the Thue-Morse word and its complement: equal under any polynomial hash modulo 2^64
+    for _ in range(11):
+        a, b = a + b, b + a
+    body = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*body[:30], a, *body[30:]])), (2, " ".join([*body[:30], b, *body[30:]]))]
+    assert removed(spark, rows) == [(1, 61, 0), (2, 61, 0)]
+
+
+def test_rows_of_one_id_are_kept_apart(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    assert removed(spark, [(1, x), (2, x), (2, y)]) == [(1, 60, 0), (2, 60, 0), (2, 60, 60)]
+
+
+def test_string_ids(spark):
+    x = " ".join(f"x{i}" for i in range(60))
+    assert removed(spark, [("b", x), ("a", x + " end"), ("c", x)], "doc_id string, text string") == [("a", 61, 0), ("b", 60, 60), ("c", 60, 60)]
+
+
+def test_every_step_takes_part(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 8)
+    docs = spark.createDataFrame(fixture(), "doc_id long, text string").withColumn("row", F.lit(0).cast("long"))
+    assert all(step.count() for step in S.covered_spans(docs).values())
