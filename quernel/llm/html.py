@@ -1,16 +1,21 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
 A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, or by the words of class, id and role) are dropped. All else, inside an article (or main) element
-or not, is judged by its host: the token streams of the host's pages are joined and their suffixes sorted to the depth
-of RUN tokens by prefix doubling. Boilerplate is a run of at least RUN tokens, or a whole shorter block, that stands on
-at least LEAST pages and on one page in SHARE of the host. It is removed, everything else stays. Dropped blocks count
-as places of a run for text outside articles only: a list of headlines in a sidebar must not take the headline from
-its article. Pages of a host with the same kept text count as one page, so copies of a page are no boilerplate.
-
-A host whose pages have more than SHARD_CHARS characters is cut into shards, and its counts are those of all shards: a
-run on one page in SHARE of the host is on one in SHARE of some shard, so the shards' own such runs are all the
-candidates; each shard counts them all, and the sums decide. The result doesn't depend on the shards.
+comments (by element, or by the words of class, id and role) are dropped; that is a prior, which needs no other page.
+What every other block keeps, inside an article (or main) element or not, is decided by its host: the token streams of
+the host's pages are joined and their suffixes sorted to the depth of RUN tokens by prefix doubling. Boilerplate is a
+run of at least RUN tokens, or a whole shorter block, that stands on at least LEAST pages and on one page in SHARE of the
+host. It is removed, everything else stays. Pages of a host with the same kept text count as one page, so copies of a
+page are no boilerplate.
+
+1. Every page is parsed once; what it keeps is written, compressed page by page.
+2. The kept texts go to their hosts' suffix arrays. A host of more than SHARD_CHARS characters is dealt to shards by
+   text: a run on one page in SHARE of the host is on one in SHARE of some shard, so the shards' own such runs are all
+   the candidates; each shard then counts them all, and the sums decide. The result doesn't depend on the shards, and
+   no stage deals rows by host alone.
+3. A host's boilerplate (at most SHARE times a mean page's tokens, whatever the host's size) is taken out of its pages
+   where they were written. All hosts' boilerplate is broadcast if it is measured to have at most SENT_CHARS characters,
+   else joined to the shards.
 
 Defined cases: null or empty html gives an empty text; truncated mark-up ends where the text ends; a null url is a
 host of its own, and each such page too; repeated rows count as one page; all text of a page is read.
@@ -34,6 +39,9 @@ RUN = 20
 LEAST = 3
 SHARE = 5
 SHARD_CHARS = 8 << 20
+#: Boilerplate of all hosts together, and large hosts, that a broadcast may hold.
+SENT_CHARS = 16 << 20
+SENT_HOSTS = 100_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -188,155 +196,203 @@ def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [cover[b : b + len(s)] for b, s in zip(begin, streams, strict=False)]
 
 
+def _zip(text: str) -> bytes:
+    return pa.compress(text.encode("utf-8", "surrogatepass"), "zstd", asbytes=True)
+
+
+def _unzip(zipped: bytes, size: int) -> str:
+    return pa.decompress(zipped, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+
+
 class Units:
-    """The runs of RUN tokens and the shorter whole blocks of a shard's distinct pages, and those of `given` besides.
+    """The runs of RUN tokens and the shorter whole blocks of distinct pages (lines are blocks), with given ones beside.
 
-    A stream is a stretch of a page's blocks that are all dropped or all kept. Given units stand in streams of no page.
+    Equal units have one class; the given ones stand on no page.
     """
 
-    def __init__(self, pages: list[tuple[list[str], list[str]]], given: list[str]) -> None:
-        self.streams: list[list[str]] = []
-        self.blocks: list[tuple[int, int, int, str, int]] = []  # page, number in it, place, kind, tokens
-        owner, dropped, place, small = [], [], 0, []
-        names: dict[str, int] = {}
-        for page, (kinds, texts) in enumerate(pages):
-            before = None
-            for number, (kind, text) in enumerate(zip(kinds, texts, strict=True)):
-                if (kind == "d") != before:
-                    before = kind == "d"
-                    place += bool(self.streams)  # the separator
-                    self.streams.append([])
-                    owner.append(page)
-                    dropped.append(before)
-                tokens = text.split()
-                if len(tokens) < RUN:
-                    small.append((names.setdefault(text, len(names)), page, before, place, len(tokens)))
-                self.blocks.append((page, number, place, kind, len(tokens)))
-                self.streams[-1].extend(tokens)
-                place += len(tokens)
-        self.pages, self.total = len(pages), place + bool(self.streams)
+    def __init__(self, pages: list[str], given: list[str]) -> None:
+        self.streams = [page.split() for page in pages]
+        place, small, names = 0, [], {}
+        for number, page in enumerate(pages):
+            for block in page.split("\n") if page else ():
+                tokens = block.count(" ") + 1
+                if tokens < RUN:
+                    small.append((names.setdefault(block, len(names)), number, place, tokens))
+                place += tokens
+            place += 1  # the separator
         asked = [u[1:].split() for u in given if u[0] == "r"]
         at, stream, rank = _windows(self.streams + asked, RUN)
-        own = stream < len(self.streams)
+        own = stream < len(pages)
         classes, rank = np.unique(rank, return_inverse=True)
-        runs = len(classes)
+        self.runs = len(classes)
         of_given = iter(rank[~own].tolist())  # one window each, in order
-        self.given = [next(of_given) if u[0] == "r" else runs + names.setdefault(u[1:], len(names)) for u in given]
-        self.texts = list(names)
-        small = np.array(small, np.int64).reshape(-1, 5)
-        stream, at, rank = stream[own], at[own], rank[own]
-        self.classes = np.concatenate((rank, runs + small[:, 0]))
-        self.owner = np.concatenate((np.array(owner, np.int64)[stream], small[:, 1]))
-        self.dropped = np.concatenate((np.array(dropped, bool)[stream], small[:, 2] > 0))
-        self.at = np.concatenate((at, small[:, 3]))
-        self.sizes = np.concatenate((np.full(len(at), RUN), small[:, 4]))
-        self.runs, n = runs, runs + len(names)
-        self.everywhere = _pages_of(self.owner, self.classes, n)
-        self.kept = _pages_of(self.owner[~self.dropped], self.classes[~self.dropped], n)
-
-    def named(self, classes: np.ndarray) -> list[str]:
-        """The given names of classes: r and a run's tokens, or b and a block's text."""
-        first = np.full(len(self.everywhere), -1, np.int64)
-        runs = self.classes < self.runs
-        first[self.classes[runs]] = self.at[runs]
+        self.given = [next(of_given) if u[0] == "r" else self.runs + names.setdefault(u[1:], len(names)) for u in given]
+        self.blocks = list(names)
+        self.at, self.rank = at[own], rank[own]
+        small = np.array(small, np.int64).reshape(-1, 4)
+        owner = np.concatenate((stream[own], small[:, 1]))
+        self.pages = _pages_of(owner, np.concatenate((self.rank, self.runs + small[:, 0])), self.runs + len(names))
+
+    def named(self, good: np.ndarray, whole: bool) -> list[str]:
+        """The classes of good by name: b and a block's text, or r and the tokens of a run.
+
+        whole: neighbouring runs are joined, and a run is named once at least; else every run is named by itself.
+        """
+        out = ["b" + self.blocks[c] for c in np.flatnonzero(good[self.runs :]).tolist()]
         flat = [t for s in self.streams for t in (*s, "")]
-        return ["r" + " ".join(flat[first[c] : first[c] + RUN]) if c < self.runs else "b" + self.texts[c - self.runs] for c in classes.tolist()]
-
-    def main_texts(self, bad: np.ndarray, bad_kept: np.ndarray) -> list[str]:
-        """The text of each page without the units of the classes in bad, and in articles of those in bad_kept."""
-        covers = [_cover(self.at[b], self.sizes[b], self.total) for b in (bad[self.classes], bad_kept[self.classes])]
-        flat = [t for s in self.streams for t in (*s, "")]
-        out: list[list[str]] = [[] for _ in range(self.pages)]
-        for page, _, place, kind, n in self.blocks:
-            if kind != "d":
-                cover = covers[kind == "a"][place : place + n]
-                stay = [t for t, c in zip(flat[place : place + n], cover, strict=True) if not c] if cover.any() else flat[place : place + n]
-                if stay:
-                    out[page].append(" ".join(stay))
-        return ["\n".join(lines) for lines in out]
-
-
-def _distinct(group: pd.DataFrame) -> pd.DataFrame:
-    """The first page of each kept text."""
-    return group.sort_values("rid", kind="stable").drop_duplicates("same")
-
-
-def _units(group: pd.DataFrame, given: list[str]) -> Units:
-    return Units(list(zip(group["kinds"], group["texts"], strict=True)), given)
-
-
-def _propose(group: pd.DataFrame) -> pd.DataFrame:
-    """The units on one page in SHARE of a shard."""
-    units = _units(_distinct(group), [])
-    return pd.DataFrame({"host": group["host"].iloc[0], "unit": np.array(units.named(np.flatnonzero(units.everywhere * SHARE >= units.pages)), object)})
+        hit = good[self.rank]
+        at, rank = self.at[hit], self.rank[hit]
+        if not whole:
+            rank, first = np.unique(rank, return_index=True)
+            return out + ["r" + " ".join(flat[x : x + RUN]) for x in at[first].tolist()]
+        met: set[int] = set()
+        ends = np.flatnonzero(np.diff(at, append=-1) != 1) + 1
+        for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            own = set(rank[a:b].tolist())
+            if not own <= met:
+                met |= own
+                out.append("r" + " ".join(flat[at[a] : at[b - 1] + RUN]))
+        return out
+
+
+class Boilerplate:
+    """What is removed from the pages of one host."""
+
+    def __init__(self, units: list[str]) -> None:
+        self.blocks = {u[1:] for u in units if u[0] == "b"}
+        self.runs = set()
+        for u in units:
+            if u[0] == "r":
+                tokens = u[1:].split()
+                self.runs |= {tuple(tokens[k : k + RUN]) for k in range(len(tokens) - RUN + 1)}
+        self.leads = {run[0] for run in self.runs}
+
+    def out_of(self, page: str) -> str:
+        """The page without them; its blocks stay blocks."""
+        tokens = page.split()
+        gone = np.zeros(len(tokens) + 1, np.int64)
+        for k in range(len(tokens) - RUN + 1) if self.runs else ():
+            if tokens[k] in self.leads and tuple(tokens[k : k + RUN]) in self.runs:
+                gone[k] += 1
+                gone[k + RUN] -= 1
+        covered = np.cumsum(gone) > 0
+        at, lines = 0, []
+        for block in page.split("\n") if page else ():
+            n = block.count(" ") + 1
+            if n >= RUN or block not in self.blocks:
+                if covered[at : at + n].any():
+                    block = " ".join(t for t, c in zip(tokens[at : at + n], covered[at : at + n].tolist(), strict=True) if not c)
+                if block:
+                    lines.append(block)
+            at += n
+        return "\n".join(lines)
+
+
+def _distinct(zipped, sizes) -> list[str]:
+    return [_unzip(z, n) for z, n in dict(zip(zipped, sizes, strict=True)).items()]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host and shard. The boilerplate of a host of one shard; else the units on one page in SHARE."""
+
+    def told(key: tuple, rows: dict) -> pa.RecordBatch:
+        pages = [_unzip(z, n) for z, n in rows.items()]
+        names: list[str] = []
+        if len(pages) >= LEAST or key[2] > 1:
+            units = Units(pages, [])
+            names = units.named(units.pages * SHARE >= len(pages), False) if key[2] > 1 else units.named(units.pages >= max(LEAST, -(-len(pages) // SHARE)), True)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(names), pa.string()), pa.array([key[2]] * len(names), pa.int32()), pa.array(names, pa.string())], ["host", "shards", "unit"])
+
+    now, rows = None, {}
+    for batch in batches:
+        for host, shard, shards, size, zipped in zip(*(batch.column(c).to_pylist() for c in ("host", "shard", "shards", "size", "zipped")), strict=True):
+            if (host, shard, shards) != now:
+                if now:
+                    yield told(now, rows)
+                now, rows = (host, shard, shards), {}
+            rows[zipped] = size
+    if now:
+        yield told(now, rows)
 
 
 def _count(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """How many pages of a shard have each candidate, kept or not and kept; the empty unit counts the pages."""
+    """How many pages of a shard have each candidate; the empty unit counts the pages."""
     if group.empty:
-        return pd.DataFrame(columns=["host", "unit", "everywhere", "kept"], dtype=object)
-    given = list(asked["unit"])
-    units = _units(_distinct(group), given)
-    rows = pd.DataFrame({"unit": ["", *given], "everywhere": [units.pages, *units.everywhere[units.given]], "kept": [units.pages, *units.kept[units.given]]})
-    return rows.assign(host=group["host"].iloc[0])[["host", "unit", "everywhere", "kept"]]
+        return pd.DataFrame(columns=["host", "unit", "n"], dtype=object)
+    given, pages = list(asked["unit"]), _distinct(group["zipped"], group["size"])
+    units = Units(pages, given)
+    return pd.DataFrame({"host": group["host"].iloc[0], "unit": ["", *given], "n": [len(pages), *units.pages[units.given]]})
 
 
-def _apply(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The main texts of a shard's pages; asked: the boilerplate of its host, unless the host is one shard."""
-    if group.empty:
-        return pd.DataFrame(columns=["page_id", "url", "text"], dtype=object)
-    pages = _distinct(group)
-    units = _units(pages, list(asked["unit"]))
-    if group["shards"].iloc[0] > 1:
-        bad, bad_kept = np.zeros((2, len(units.everywhere)), bool)
-        bad[units.given] = True
-        bad_kept[np.array(units.given, np.int64)[asked["kept"].to_numpy(bool)]] = True
-    else:
-        need = max(LEAST, -(-units.pages // SHARE))
-        bad, bad_kept = units.everywhere >= need, units.kept >= need
-    texts = dict(zip(pages["same"], units.main_texts(bad, bad_kept), strict=True))
-    return group[["page_id", "url"]].assign(text=group["same"].map(texts))
+def _removed(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The main texts of a shard's pages."""
+    out = Boilerplate(list(asked["unit"]))
+    return group[["page_id", "url"]].assign(text=[out.out_of(_unzip(z, n)) for z, n in zip(group["zipped"], group["size"], strict=True)])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and the main text of every page."""
-    rid = F.xxhash64("page_id", "url", "html")
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.concat(F.lit("?"), rid.cast("string")))
+def kept_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, chars, size (bytes) and zipped: what the tag rules keep of every page, blocks as lines."""
+    alone = F.concat(F.lit("?"), F.xxhash64("page_id", "html").cast("string"))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), alone)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    # at most one row for every SHARD_CHARS characters
-    sizes = C.cut(pages.select(host.alias("h"), F.char_length("html").alias("n")).groupBy("h").agg(F.ceil(F.sum("n") / SHARD_CHARS).cast("int").alias("shards")).filter("shards > 1"))
-    named = pages.select(rid.alias("rid"), "page_id", "url", host.alias("host"), "html")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.chunks(batches, "html"):
-            found = [blocks(page) if page else [] for page in batch.column("html").to_pylist()]
-            texts = pa.list_(pa.string())
-            own = [pa.array([[b[k] for b in page] for page in found], texts) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "page_id", "url", "host", "shards")), *own], ["rid", "page_id", "url", "host", "shards", "kinds", "texts"])
+            texts = ["\n".join(text for kind, text in blocks(page) if kind != "d") if page else "" for page in batch.column("html").to_pylist()]
+            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            own = [pa.array([len(t) for t in texts], pa.int32()), pa.array(sizes, pa.int32()), pa.array([_zip(t) if t else b"" for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *own], ["page_id", "url", "host", "chars", "size", "zipped"])
+
+    return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(cut, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, chars int, size int, zipped binary")
 
-    def dealt(how: str) -> DataFrame:
-        with_shards = named.join(F.broadcast(sizes), F.col("host") == F.col("h"), how).select("rid", "page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
-        parsed = with_shards.mapInArrow(cut, f"rid long, page_id {kinds['page_id']}, url {kinds['url']}, host string, shards int, kinds array<string>, texts array<string>")
-        kept = F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] != "d")
-        # what is kept, block by block: copies meet in one shard
-        same = F.sha2(F.to_json(kept).cast("binary"), 256)
-        return parsed.withColumn("same", same).withColumn("shard", F.pmod(F.xxhash64("same"), "shards").cast("int"))
 
-    key, counts = ["host", "shard"], "host string, unit string, everywhere long, kept long"
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url and the main text of every page."""
+    spark, out = pages.sparkSession, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
+    kept = C.written(kept_texts(pages))
+    sizes = C.cut(kept.groupBy(F.col("host").alias("h")).agg(F.ceil(F.sum("chars") / SHARD_CHARS).cast("int").alias("many")).filter("many > 1"))
+    large = sizes.count()
+    if large <= SENT_HOSTS:
+        sizes = F.broadcast(sizes)
+    shards = F.coalesce("many", F.lit(1))
+    dealt = kept.join(sizes, F.col("host") == F.col("h"), "left").withColumns({"shards": shards, "shard": F.pmod(F.xxhash64("zipped"), shards).cast("int")})
+    texts = dealt.filter("size > 0").select("host", "shard", "shards", "size", "zipped")
+    found = C.cut(texts.repartition("host", "shard").sortWithinPartitions("host", "shard").mapInArrow(_found, "host string, shards int, unit string"))
+    bad = found.filter("shards = 1").select("host", "unit")
+    key = ["host", "shard"]
 
     def of_shards(units: DataFrame) -> DataFrame:
-        return units.join(F.broadcast(sizes), F.col("host") == F.col("h")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("h", "shards")
-
-    bad = pages.sparkSession.createDataFrame([], "host string, unit string, kept boolean, shard int")
-    if not sizes.isEmpty():
-        large = dealt("inner").select(*key, "rid", "kinds", "texts", "same")
-        asked = of_shards(large.groupBy(*key).applyInPandas(_propose, "host string, unit string").distinct())
-        counted = large.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_count, counts).groupBy("host", "unit").agg(F.sum("everywhere").alias("everywhere"), F.sum("kept").alias("kept"))
-        counted = C.cut(counted)
-        need = counted.filter("unit = ''").select(F.col("host").alias("g"), F.greatest(F.lit(LEAST), F.ceil(F.col("kept") / SHARE)).alias("need"))
-        bad = counted.filter("unit <> ''").join(F.broadcast(need), F.col("host") == F.col("g")).filter("everywhere >= need").select("host", "unit", (F.col("kept") >= F.col("need")).alias("kept"))
-        bad = of_shards(bad).select("host", "unit", "kept", "shard")
-    return dealt("left").groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(_apply, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+        many = units.join(sizes, F.col("host") == F.col("h"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+        return many.select("host", "shard", "unit")
+
+    if large:
+        asked = of_shards(found.filter("shards > 1").select("host", "unit").distinct())
+        counted = texts.filter("shards > 1").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_count, "host string, unit string, n long")
+        counted = C.cut(counted.groupBy("host", "unit").agg(F.sum("n").alias("n")))
+        need = counted.filter("unit = ''").select(F.col("host").alias("g"), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / SHARE)).alias("need"))
+        bad = bad.union(counted.filter("unit <> ''").join(need, (F.col("host") == F.col("g")) & (F.col("n") >= F.col("need"))).select("host", "unit"))
+    bad = C.cut(bad)
+    if (bad.agg(F.sum(F.length("unit") + F.length("host"))).first()[0] or 0) > SENT_CHARS:
+        return dealt.groupBy(*key).cogroup(of_shards(bad).groupBy(*key)).applyInPandas(_removed, out)
+    told: dict[str, list[str]] = {}
+    for r in bad.collect():  # at most SENT_CHARS characters
+        told.setdefault(r["host"], []).append(r["unit"])
+    sent = spark.sparkContext.broadcast(told)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Boilerplate] = {}
+        for batch in batches:
+            texts = []
+            for host, size, zipped in zip(*(batch.column(c).to_pylist() for c in ("host", "size", "zipped")), strict=True):
+                text = _unzip(zipped, size)
+                if host in sent.value:
+                    if host not in known:
+                        known[host] = Boilerplate(sent.value[host])
+                    text = known[host].out_of(text)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return kept.select("page_id", "url", "host", "size", "zipped").mapInArrow(clean, out)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
