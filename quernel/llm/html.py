@@ -9,13 +9,15 @@ host. It is removed, everything else stays. Pages of a host with the same kept t
 page are no boilerplate.
 
 1. Every page is parsed once; what it keeps is written, compressed page by page.
-2. The kept texts go to their hosts' suffix arrays. A host of more than SHARD_CHARS characters is dealt to shards by
-   text: a run on one page in SHARE of the host is on one in SHARE of some shard, so the shards' own such runs are all
-   the candidates; each shard then counts them all, and the sums decide. The result doesn't depend on the shards, and
-   no stage deals rows by host alone.
+2. The kept texts go to their hosts' suffix arrays. A large host is dealt to shards by text: a run on one page in SHARE
+   of the host is on one in SHARE of some shard, so the shards' own such runs are all the candidates; the host's pages
+   that have them are then counted over all shards. The result doesn't depend on the shards, and no stage deals the
+   rows of a large host by host alone.
 3. A host's boilerplate (at most SHARE times a mean page's tokens, whatever the host's size) is taken out of its pages
-   where they were written. All hosts' boilerplate is broadcast if it is measured to have at most SENT_CHARS characters,
-   else joined to the shards.
+   where they were written.
+
+Candidates and boilerplate of all hosts are broadcast if they are measured to have at most SENT_CHARS characters, else
+they are joined to the shards.
 
 Defined cases: null or empty html gives an empty text; truncated mark-up ends where the text ends; a null url is a
 host of its own, and each such page too; repeated rows count as one page; all text of a page is read.
@@ -38,7 +40,10 @@ from . import common as C
 RUN = 20
 LEAST = 3
 SHARE = 5
+#: A shard has at most SHARD_CHARS characters, and fewer as long as it has SHARD_PAGES pages or more.
 SHARD_CHARS = 8 << 20
+SHARD_PAGES = 128
+EVEN_CHARS = 1 << 20
 #: Boilerplate of all hosts together, and large hosts, that a broadcast may hold.
 SENT_CHARS = 16 << 20
 SENT_HOSTS = 100_000
@@ -256,25 +261,39 @@ class Units:
 
 
 class Boilerplate:
-    """What is removed from the pages of one host."""
+    """Units of one host, looked for in its pages."""
 
     def __init__(self, units: list[str]) -> None:
-        self.blocks = {u[1:] for u in units if u[0] == "b"}
-        self.runs = set()
-        for u in units:
+        self.blocks = {u[1:]: k for k, u in enumerate(units) if u[0] == "b"}
+        self.runs: dict[tuple, int] = {}
+        for k, u in enumerate(units):
             if u[0] == "r":
                 tokens = u[1:].split()
-                self.runs |= {tuple(tokens[k : k + RUN]) for k in range(len(tokens) - RUN + 1)}
+                self.runs |= {tuple(tokens[x : x + RUN]): k for x in range(len(tokens) - RUN + 1)}
         self.leads = {run[0] for run in self.runs}
 
+    def _places(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """Where a run starts, and the unit's number."""
+        found = []
+        for k in range(len(tokens) - RUN + 1) if self.runs else ():
+            if tokens[k] in self.leads:
+                own = self.runs.get(tuple(tokens[k : k + RUN]))
+                if own is not None:
+                    found.append((k, own))
+        return found
+
+    def within(self, page: str) -> list[int]:
+        """The numbers of the units that a page has."""
+        own = {self.blocks[b] for b in page.split("\n") if b in self.blocks and b.count(" ") + 1 < RUN}
+        return sorted(own | {k for _, k in self._places(page.split())})
+
     def out_of(self, page: str) -> str:
         """The page without them; its blocks stay blocks."""
         tokens = page.split()
         gone = np.zeros(len(tokens) + 1, np.int64)
-        for k in range(len(tokens) - RUN + 1) if self.runs else ():
-            if tokens[k] in self.leads and tuple(tokens[k : k + RUN]) in self.runs:
-                gone[k] += 1
-                gone[k + RUN] -= 1
+        for k, _ in self._places(tokens):
+            gone[k] += 1
+            gone[k + RUN] -= 1
         covered = np.cumsum(gone) > 0
         at, lines = 0, []
         for block in page.split("\n") if page else ():
@@ -346,11 +365,44 @@ def kept_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(cut, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, chars int, size int, zipped binary")
 
 
+def _sent(units: DataFrame) -> dict[str, list[str]] | None:
+    """host to units, if they are few enough to be broadcast."""
+    if (units.agg(F.sum(F.length("unit") + F.length("host"))).first()[0] or 0) > SENT_CHARS:
+        return None
+    told: dict[str, list[str]] = {}
+    for r in units.orderBy("host", "unit").collect():  # at most SENT_CHARS characters
+        told.setdefault(r["host"], []).append(r["unit"])
+    return told
+
+
+def _on_pages(texts: DataFrame, told: dict[str, list[str]]) -> DataFrame:
+    """host, unit and the number of distinct pages that have it; the empty unit counts the host's pages."""
+    sent = texts.sparkSession.sparkContext.broadcast(told)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Boilerplate] = {}
+        for batch in batches:
+            units = []
+            for host, size, zipped in zip(*(batch.column(c).to_pylist() for c in ("host", "size", "zipped")), strict=True):
+                if host not in known:
+                    known[host] = Boilerplate(sent.value.get(host, []))
+                units.append(known[host].within(_unzip(zipped, size)))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(units, pa.list_(pa.int32()))], ["host", "page", "units"])
+
+    found = texts.select("host", "size", "zipped", F.xxhash64("zipped").alias("page")).mapInArrow(within, "host string, page long, units array<int>")
+    once = found.groupBy("host", "page").agg(F.first("units").alias("units"))
+    counted = once.select("host", F.explode(F.concat(F.array(F.lit(-1)), "units")).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n"))
+    names = texts.sparkSession.createDataFrame([(h, k, u) for h, own in told.items() for k, u in enumerate(["", *own], -1)], "h string, i int, unit string")
+    return counted.join(names, (F.col("host") == F.col("h")) & (F.col("k") == F.col("i"))).select("host", "unit", "n")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every page."""
     spark, out = pages.sparkSession, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
     kept = C.written(kept_texts(pages))
-    sizes = C.cut(kept.groupBy(F.col("host").alias("h")).agg(F.ceil(F.sum("chars") / SHARD_CHARS).cast("int").alias("many")).filter("many > 1"))
+    chars = F.sum("chars")
+    many = F.greatest(F.ceil(chars / SHARD_CHARS), F.least(F.ceil(chars / EVEN_CHARS), F.floor(F.count("*") / SHARD_PAGES)))
+    sizes = C.cut(kept.groupBy(F.col("host").alias("h")).agg(many.cast("int").alias("many")).filter("many > 1"))
     large = sizes.count()
     if large <= SENT_HOSTS:
         sizes = F.broadcast(sizes)
@@ -362,21 +414,24 @@ def extract(pages: DataFrame) -> DataFrame:
     key = ["host", "shard"]
 
     def of_shards(units: DataFrame) -> DataFrame:
-        many = units.join(sizes, F.col("host") == F.col("h"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
-        return many.select("host", "shard", "unit")
-
-    if large:
-        asked = of_shards(found.filter("shards > 1").select("host", "unit").distinct())
-        counted = texts.filter("shards > 1").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_count, "host string, unit string, n long")
-        counted = C.cut(counted.groupBy("host", "unit").agg(F.sum("n").alias("n")))
+        several = units.join(sizes, F.col("host") == F.col("h"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+        return several.select("host", "shard", "unit")
+
+    asked = found.filter("shards > 1").select("host", "unit").distinct()
+    if large and not asked.isEmpty():
+        told, own = _sent(asked), texts.filter("shards > 1")
+        if told is None:
+            counted = own.groupBy(*key).cogroup(of_shards(asked).groupBy(*key)).applyInPandas(_count, "host string, unit string, n long")
+            counted = counted.groupBy("host", "unit").agg(F.sum("n").alias("n"))
+        else:
+            counted = _on_pages(own.filter(F.col("host").isin(list(told))) if len(told) < 100 else own, told)
+        counted = C.cut(counted)
         need = counted.filter("unit = ''").select(F.col("host").alias("g"), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / SHARE)).alias("need"))
         bad = bad.union(counted.filter("unit <> ''").join(need, (F.col("host") == F.col("g")) & (F.col("n") >= F.col("need"))).select("host", "unit"))
     bad = C.cut(bad)
-    if (bad.agg(F.sum(F.length("unit") + F.length("host"))).first()[0] or 0) > SENT_CHARS:
+    told = _sent(bad)
+    if told is None:
         return dealt.groupBy(*key).cogroup(of_shards(bad).groupBy(*key)).applyInPandas(_removed, out)
-    told: dict[str, list[str]] = {}
-    for r in bad.collect():  # at most SENT_CHARS characters
-        told.setdefault(r["host"], []).append(r["unit"])
     sent = spark.sparkContext.broadcast(told)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,16 +241,48 @@ def test_prose_outside_articles_stays(spark):
     assert got == {i: " ".join(x[5:-6].split()) for i, x in enumerate(texts)}
 
 
-def test_shards_of_a_host_count_together(spark, monkeypatch):
-    often, seldom, line = words(24), words(24), "Read more here"
-    texts = [f"<p>{words(30)}</p>" + (f"<p>{often}</p>" if i % 4 == 0 else "") + (f"<p>{seldom}</p>" if i % 6 == 0 else "") + (f"<article>{line}</article>" if i % 2 else f"<aside>{line}</aside>" if i % 3 else f"<p>{line}</p>") for i in range(60)]
-    pages = host_pages(spark, "s", texts)
-    one = plain(html.extract(pages))
-    assert all(often not in r[2] and line not in r[2] for r in one) and sum(seldom in r[2] for r in one) == 10
-    monkeypatch.setattr(html, "SHARD_CHARS", 800)
-    assert plain(html.extract(pages)) == one
-    unlike = [words(30) for _ in range(40)]  # no candidates
-    assert plain(html.extract(host_pages(spark, "v", [f"<p>{x}</p>" for x in unlike]))) == plain(spark.createDataFrame([(i, f"http://v/{i}", x) for i, x in enumerate(unlike)], "a long, b string, c string"))
+def main_texts(rows):
+    """A plain version of the rule over (page_id, url, html) rows: every run and block of every host counted by itself."""
+    kept = [(i, u, u.split("/")[2], [t for kind, t in html.blocks(h) if kind != "d"]) for i, u, h in rows]
+    hosts = {}
+    for _, _, host, lines in kept:
+        if lines:
+            hosts.setdefault(host, set()).add("\n".join(lines))
+    runs = lambda tokens: [tuple(tokens[k : k + html.RUN]) for k in range(len(tokens) - html.RUN + 1)]
+    bad = {}
+    for host, texts in hosts.items():
+        seen = Counter(x for t in texts for x in {*runs(t.split()), *(b for b in t.split("\n") if len(b.split()) < html.RUN)})
+        bad[host] = {x for x, n in seen.items() if n >= html.LEAST and n * html.SHARE >= len(texts)}
+    out = []
+    for i, u, host, lines in kept:
+        tokens, gone = " ".join(lines).split(), set()
+        for k, run in enumerate(runs(tokens)):
+            if run in bad.get(host, ()):
+                gone |= set(range(k, k + html.RUN))
+        at, left = 0, []
+        for line in lines:
+            own = line.split()
+            if len(own) >= html.RUN or line not in bad[host]:
+                left.append(" ".join(t for k, t in enumerate(own, at) if k not in gone))
+            at += len(own)
+        out.append((i, u, "\n".join(x for x in left if x)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pages_of_host", [15, 150, 600])
+def test_extract_equals_brute_force(spark, monkeypatch, pages_of_host):
+    monkeypatch.setattr(html, "EVEN_CHARS", 1 << 14)  # 600 pages are several shards
+    often, seldom, line = words(24), words(33), "Read more here"
+    rows = [(i, f"http://s/{i}", f"<body><nav>{line}</nav><p>{words(30)}</p>" + (f"<p>{words(3)} {often} {words(3)}</p>" if i % 4 == 0 else "") + (f"<p>{seldom}</p>" if i % 6 == 0 else "") + (f"<article>{line}</article>" if i % 5 else f"<aside>{line}</aside>")) for i in range(pages_of_host)]
+    rows += [(9000 + i, "http://copies/1", rows[0][2]) for i in range(9)] + [(9100 + i, f"http://few/{i}", f"<p>{line}</p>") for i in range(2)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, shards int")
+    got = plain(html.extract(pages))
+    want = main_texts(rows)
+    assert sorted(got) == want and sum(often in r[2] for r in want) == 9  # copies are no boilerplate
+    assert (sum(seldom in r[2] for r in want) > 9) == (pages_of_host > 15)  # 3 of 15 pages are one in five, 25 of 150 are not
+    monkeypatch.setattr(html, "SENT_CHARS", 0)
+    monkeypatch.setattr(html, "SENT_HOSTS", 0)
+    assert sorted(plain(html.extract(pages))) == want
 
 
 # --- pseudonyms
