@@ -5,9 +5,13 @@ segmentation is the one path on which every two neighbouring pieces are what the
 text (merges inside a piece never look past its edges), so the dynamic programme takes this as its step condition:
 position i keeps a backpointer to the start of the only piece that can end there. A window of positions no further
 back than the longest piece can still be the start of a later piece; once the backpointer paths of all of them meet
-in one boundary, the ids up to it are committed and forgotten. Before a space that follows another character, and
-around characters that no longer piece contains, paths always meet, so whole runs between such boundaries are kept
-in a bounded cache.
+in one boundary, the ids up to it are committed and the positions before it forgotten. Before a space that follows
+another character, and around characters that no longer piece contains, paths always meet; texts are cut there into
+runs, and runs met again come from a cache that is bounded in bytes.
+
+`Lanes` does this for many runs at once, one position of all of them at a time, and `Stream` for one run that is fed in
+portions: the same window, step condition and commits. Runs of any length go through Lanes; when fewer than LANES of
+them are still going, each carries on from its last commit as a Stream.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; a text may be of any length; U+2581 in
 a text is read as a space, as the format itself does; characters outside the model become byte pieces, so every
@@ -28,10 +32,10 @@ from pyspark.sql import types as T
 from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_RUNS = 400_000
+#: Bytes that the cache of runs may hold, and what an entry takes besides its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 160
 CACHED_PAIRS = 500_000
-#: Runs of up to so many characters are done many at a time.
-SHORT_RUN = 40
+LANES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Slots of the piece table and of the memory of pairs, as powers of two.
@@ -85,6 +89,7 @@ class Pieces(Decoder):
         self.runs = re.compile(f"{_SPACE}*[^{_SPACE}{alone}]+|{_SPACE}+" + (f"|[{alone}]" if alone else ""))
         self.alone = re.compile(f"[{alone}]") if alone else None
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.old: dict[str, bytes] = {}  # the cache before this one: what is met again moves over
         self.pairs: dict[int, bool] = {}
         self.longest = max(map(len, self.id))
@@ -165,58 +170,8 @@ class Pieces(Decoder):
         ok = self.pairs.get(key)
         return self.follows(self.text_of[key >> 24], self.text_of[key & 0xFFFFFF], key) if ok is None else ok
 
-    def _viterbi(self, runs: list[str]) -> list[bytes]:
-        """The same programme as Stream's over many short runs at once, one position of all of them at a time."""
-        sizes = np.array([len(r) for r in runs])
-        order = np.argsort(-sizes, kind="stable")
-        sizes, runs = sizes[order], [runs[i] for i in order]
-        n, most = len(runs), int(sizes[0])
-        points = np.frombuffer("".join(r.ljust(most, "\0") for r in runs).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, most).astype(np.uint64)
-        prefix = np.zeros((n, most + 1), np.uint64)
-        for k in range(most):
-            prefix[:, k + 1] = prefix[:, k] * _BASE + points[:, k] + np.uint64(1)
-        back = np.full((n, most + 1), -1, np.int16)
-        ends = np.full((n, most + 1), -1, np.int64)
-        for i in range(1, most + 1):
-            live = int(np.searchsorted(-sizes, -i, side="right"))
-            todo = np.arange(live)
-            power = np.ones(1, np.uint64)  # an array wraps round in silence
-            for size in range(1, min(i, self.longest) + 1):
-                power = power * _BASE
-                j = i - size
-                h = prefix[todo, i] - prefix[todo, j] * power
-                hit, at = self._find(h)
-                if j:
-                    hit &= ends[todo, j] >= 0
-                rows, own = todo[hit], self.numbers[at[hit]]
-                if j and len(rows):
-                    ok = self._fit(ends[rows, j] << 24 | own)
-                    rows, own = rows[ok], own[ok]
-                if len(rows):
-                    back[rows, i], ends[rows, i] = j, own
-                    todo = todo[ends[todo, i] < 0]
-                if not len(todo):
-                    break
-        at = sizes.copy()
-        whole = ends[np.arange(n), at] >= 0
-        path = np.zeros((n, most), np.int32)
-        count = np.zeros(n, np.int64)
-        rows = np.flatnonzero(whole)
-        while len(rows):
-            count[rows] += 1
-            path[rows, most - count[rows]] = ends[rows, at[rows]]
-            at[rows] = back[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        flat = path[np.arange(most) >= (most - count)[:, None]].tobytes()
-        stops = (4 * np.cumsum(count)).tolist()
-        out: list[bytes] = [b""] * n
-        for place, run, ok, a, b in zip(order.tolist(), runs, whole.tolist(), [0, *stops], stops, strict=False):
-            out[place] = flat[a:b] if ok else self._streamed(run)
-        return out
-
     def _streamed(self, run: str) -> bytes:
-        stream = Stream(self)
-        return np.array(stream.feed(run) + stream.finish(), np.int32).tobytes()
+        return Stream(self).rest(run)
 
     def _learn(self, words: set[str]) -> None:
         """Puts the ids of space-led words into the cache."""
@@ -228,20 +183,16 @@ class Pieces(Decoder):
                 fresh.append(w)
             else:
                 self.cache[w] = own
+                self.held += len(w) + len(own) + ENTRY_BYTES
         apart = [w for w in fresh if self.alone.search(w)] if self.alone else []
         split = {w: self.runs.findall(_SPACE + w) for w in apart}
         whole = [w for w in fresh if w not in split] if split else fresh
         runs = [_SPACE + w for w in whole]
         runs += {r for parts in split.values() for r in parts}
-        short = [k for k, r in enumerate(runs) if len(r) <= SHORT_RUN]
-        done: list[bytes | None] = [None] * len(runs)
-        for a in range(0, len(short), 1 << 15):
-            part = short[a : a + (1 << 15)]
-            for k, ids in zip(part, self._viterbi([runs[k] for k in part]), strict=True):
-                done[k] = ids
-        for k, ids in enumerate(done):
-            if ids is None:
-                done[k] = self._streamed(runs[k])
+        done: list[bytes] = []
+        for a in range(0, len(runs), 1 << 15):
+            done += Lanes(self, runs[a : a + (1 << 15)]).ids()
+        self.held += sum(map(len, fresh)) + sum(map(len, done)) + ENTRY_BYTES * len(fresh)
         self.cache.update(zip(whole, done, strict=False))
         of_run = dict(zip(runs[len(whole) :], done[len(whole) :], strict=True))
         for w, parts in split.items():
@@ -250,8 +201,8 @@ class Pieces(Decoder):
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as int32 bytes."""
         split = [t.split(" ") if t else [] for t in texts]
-        if len(self.cache) > CACHED_RUNS // 2:
-            self.old, self.cache = self.cache, {}
+        if self.held > CACHE_BYTES // 2:
+            self.old, self.cache, self.held = self.cache, {}, 0
         # a word of no characters joins the spaces around it: such texts are cut by the pattern instead
         plain = [bool(w) and "" not in w and _SPACE not in t and bool(self.prefix) for w, t in zip(split, texts, strict=True)]
         new = {w for words, ok in zip(split, plain, strict=True) if ok for w in words if w not in self.cache}
@@ -278,6 +229,135 @@ class Pieces(Decoder):
         return self.encode_all([text])[0]
 
 
+class Lanes:
+    """Many runs side by side. Columns stand for positions from `base` on; what every run has committed is dropped."""
+
+    def __init__(self, pieces: Pieces, runs: list[str]) -> None:
+        self.p = pieces
+        sizes = np.array([len(r) for r in runs], np.int64)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes, self.runs = sizes[self.order], [runs[i] for i in self.order]
+        n = len(runs)
+        self.parts: list[list[bytes]] = [[] for _ in runs]
+        self.base, self.done = 0, np.zeros(n, np.int64)
+        self.prefix = np.zeros((n, 1), np.uint64)  # hashes of what stands before each position
+        self.back = np.zeros((n, 1), np.int32)  # where the piece that ends at a position starts
+        self.ends = np.zeros((n, 1), np.int64)  # its number; -1: none can end there, 0: the start
+        self.lost = np.zeros(n, bool)  # has a character that the model lacks
+
+    def ids(self) -> list[bytes]:
+        n, step = len(self.runs), 2 * self.p.longest
+        at = 0
+        live = n
+        while live >= LANES:
+            to = min(at + step, int(self.sizes[0]))
+            self._widen(live, at, to)
+            for i in range(at + 1, to + 1):
+                self._position(i, int(np.searchsorted(-self.sizes[:live], -i, side="right")))
+            still = int(np.searchsorted(-self.sizes[:live], -to, side="left"))  # longer than to
+            self._finish(np.arange(still, live))
+            live, at = still, to
+            if live >= LANES:
+                self._commit(live, at)
+        for r in range(live):
+            if not self.lost[r]:
+                self._commit_one(r)
+        out: list[bytes] = [b""] * n
+        for place, r in zip(self.order.tolist(), range(n), strict=True):
+            out[place] = self.p._streamed(self.runs[r]) if self.lost[r] else b"".join(self.parts[r])
+        return out
+
+    def _widen(self, live: int, at: int, to: int) -> None:
+        """Columns for the positions after `at` up to `to`; runs that are over are dropped."""
+        text = "".join(r[at:to].ljust(to - at, "\0") for r in self.runs[:live])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(live, to - at).astype(np.uint64)
+        wide = (live, to - at)
+        self.prefix = np.concatenate((self.prefix[:live], np.zeros(wide, np.uint64)), axis=1)
+        self.back = np.concatenate((self.back[:live], np.full(wide, -1, np.int32)), axis=1)
+        self.ends = np.concatenate((self.ends[:live], np.full(wide, -1, np.int64)), axis=1)
+        for k in range(to - at):
+            c = at + k - self.base
+            self.prefix[:, c + 1] = self.prefix[:, c] * _BASE + points[:, k] + np.uint64(1)
+
+    def _position(self, i: int, live: int) -> None:
+        p, prefix, ends, c = self.p, self.prefix, self.ends, i - self.base
+        todo = np.arange(live)
+        power = np.ones(1, np.uint64)  # an array wraps round in silence
+        for size in range(1, min(c, p.longest) + 1):
+            power = power * _BASE
+            j = c - size
+            hit, at = p._find(prefix[todo, c] - prefix[todo, j] * power)
+            if i > size:
+                hit &= (ends[todo, j] >= 0) & (i - size >= self.done[todo])
+            rows, own = todo[hit], p.numbers[at[hit]]
+            if i > size and len(rows):
+                ok = p._fit(ends[rows, j] << 24 | own)
+                rows, own = rows[ok], own[ok]
+            if len(rows):
+                self.back[rows, c], ends[rows, c] = i - size, own
+                todo = todo[ends[todo, c] < 0]
+            if not len(todo):
+                break
+
+    def _commit(self, live: int, at: int) -> None:
+        """Commits each run up to the boundary in which the paths of all positions that can still matter meet."""
+        rows = np.flatnonzero(~self.lost[:live])
+        first = np.maximum(at - self.p.longest + 1, self.done[rows])
+        places = first[:, None] + np.arange(self.p.longest)
+        places = np.minimum(places, at)
+        open_ = (self.ends[rows[:, None], places - self.base] >= 0) | (places == self.done[rows][:, None])
+        some = open_.any(axis=1)
+        self.lost[rows[~some]] = True
+        rows, places, open_ = rows[some], places[some], open_[some]
+        paths = np.where(open_, places, np.where(open_, places, -1).max(axis=1)[:, None])
+        going = np.arange(len(rows))
+        while len(going):
+            far = paths[going].max(axis=1)
+            apart = far > paths[going].min(axis=1)
+            going, far = going[apart], far[apart]
+            if len(going):
+                before = self.back[rows[going], far - self.base]
+                paths[going] = np.where(paths[going] == far[:, None], before[:, None], paths[going])
+        self._emit(rows, paths[:, 0].astype(np.int64) if len(rows) else np.zeros(0, np.int64))
+        kept = int(self.done[rows].min()) if len(rows) else at
+        cut = kept - self.base
+        self.prefix, self.back, self.ends, self.base = self.prefix[:, cut:], self.back[:, cut:], self.ends[:, cut:], kept
+
+    def _emit(self, rows: np.ndarray, to: np.ndarray) -> None:
+        """Ids of the paths from what is committed up to `to`, which is committed then."""
+        at, rank, steps = to.copy(), np.arange(len(rows)), []
+        while len(rank := rank[at[rank] > self.done[rows[rank]]]):
+            c = at[rank] - self.base
+            steps.append((rank, self.ends[rows[rank], c]))
+            at[rank] = self.back[rows[rank], c]
+        count = np.zeros(len(rows), np.int64)
+        path = np.zeros((len(rows), len(steps)), np.int32)
+        for k, (rank, own) in enumerate(steps):
+            path[rank, len(steps) - 1 - k] = own
+            count[rank] += 1
+        flat = path[np.arange(len(steps)) >= (len(steps) - count)[:, None]].tobytes()
+        stops = (4 * np.cumsum(count)).tolist()
+        for r, a, b in zip(rows.tolist(), [0, *stops], stops, strict=False):
+            if b > a:
+                self.parts[r].append(flat[a:b])
+        self.done[rows] = to
+
+    def _finish(self, rows: np.ndarray) -> None:
+        rows = rows[~self.lost[rows]]
+        whole = self.ends[rows, self.sizes[rows] - self.base] >= 0
+        self.lost[rows[~whole]] = True
+        self._emit(rows[whole], self.sizes[rows[whole]])
+
+    def _commit_one(self, r: int) -> None:
+        """The rest of a run as a Stream."""
+        at = int(self.done[r])
+        stream = Stream(self.p)
+        if at:
+            number = int(self.ends[r, at - self.base])
+            stream.head, stream.ends = self.p.text_of[number], [number]
+        self.parts[r].append(stream.rest(self.runs[r][at:]))
+
+
 class Stream:
     """Feeds text in any portions; ids come out as soon as they are certain."""
 
@@ -298,6 +378,9 @@ class Stream:
                 out += self._commit()
         return out
 
+    def rest(self, run: str) -> bytes:
+        return np.array(self.feed(run) + self.finish(), np.int32).tobytes()
+
     def _extend(self, more: str) -> None:
         p, back, ends = self.p, self.back, self.ends
         sound, tails, pairs = p.sound, p.tails, p.pairs
@@ -411,22 +494,28 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_column: str = "ids",
     return encoded.mapInArrow(run, schema)
 
 
-def encoded_and_checked(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """docs with ids and round_trip: whether the ids decode to the text (a null one counts as empty)."""
+def encoded_and_checked(docs: DataFrame, model_path: str = MODEL, decoded: bool = False) -> DataFrame:
+    """docs with ids and round_trip: whether the ids decode to the text (a null one counts as empty).
+
+    decoded: the decoded text is returned too. Names that docs has already get underscores in front.
+    """
     model = _model(docs.sparkSession, model_path)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())] + decoded * [T.StructField("decoded", T.StringType())]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(C.free_name(f.name, docs), f.dataType) for f in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value)
         for batch in C.chunks(batches, "text"):
             texts = batch.column("text").to_pylist()
             parts = pieces.encode_all(texts)
-            same = pa.array([pieces.decode(np.frombuffer(x, np.int32)) == (t or "") for x, t in zip(parts, texts, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(parts), same], [*batch.schema.names, "ids", "round_trip"])
+            again = [pieces.decode(np.frombuffer(x, np.int32)) for x in parts]
+            same = pa.array([x == (t or "") for x, t in zip(again, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(parts), same, *([pa.array(again, pa.string())] if decoded else [])], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text, the text that they decode to, and whether that is the text."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded_and_checked(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), "round_trip")
+    return encoded_and_checked(docs, decoded=True).select("doc_id", "ids", "decoded", F.size("ids").cast("long").alias("n_ids"), "round_trip")
