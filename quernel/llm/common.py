@@ -169,8 +169,8 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+def written_to(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and the path."""
     import uuid
 
     spark = df.sparkSession
@@ -181,4 +181,15 @@ def written(df: DataFrame) -> DataFrame:
         shared = tempfile.mkdtemp(prefix="quernel-written-")
     path = f"{shared.rstrip('/')}/quernel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return written_to(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that written_to wrote, through the file system that Spark knows it by."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

@@ -159,25 +159,29 @@ def plan_mix(rows: DataFrame, shards: int, weights=WEIGHTS, share: Fraction = SH
     return Plan(sources, sizes, targets, passes, low, also, blocks, split_tree(quotas, shards, seed))
 
 
-def mix(docs: DataFrame, plan: Plan, id_column: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: a struct (shard, block, place) for each time it is taken."""
+def mix(docs: DataFrame, plan: Plan, into: str = "mix", id_column: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """docs with a struct `into`: size, source_size, target and copies, a struct (shard, block, place) for each time it is taken."""
     spark = docs.sparkSession
     rows = [(s, i, size, float(t), e, low, also, b, ends) for i, (s, size, t, e, low, also, b, ends) in enumerate(zip(plan.sources, plan.sizes, plan.targets, plan.passes, plan.taken_below, plan.also, plan.blocks, plan.shard_ends, strict=True))]
-    params = spark.createDataFrame(rows, "__s string, __i int, __source_size long, __target double, __e int, __low long, __also array<long>, __b long, __ends array<long>")
-    with_key = docs.withColumns({"__size": C.n_words(F.col("text")), "__key": row_key(id_column, seed)})
-    both = with_key.join(F.broadcast(params), F.col("source").eqNullSafe(F.col("__s")))  # a row per source
-    block = F.floor(F.col("__key") / F.lit(float(1 << KEY_BITS)) * F.col("__b")).cast("long")
-    last = (F.col("__key") < F.col("__low")) | F.array_contains("__also", F.col("__key"))
-    n = F.when(F.col("__size") > 0, F.col("__e") + last.cast("int")).otherwise(0)
+    params = spark.createDataFrame(rows, "s string, i int, source_size long, target double, e int, low long, also array<long>, b long, ends array<long>")
+    name, own = C.free_name("__own", docs), C.free_name("__plan", docs)
+    params = params.select(F.struct(*params.columns).alias(own))
+    with_key = docs.withColumn(name, F.struct(C.n_words(F.col("text")).alias("size"), row_key(id_column, seed).alias("key")))
+    both = with_key.join(F.broadcast(params), F.col("source").eqNullSafe(F.col(f"{own}.s")))  # a row per source
+    p, size, key = F.col(own), F.col(f"{name}.size"), F.col(f"{name}.key")
+    block = F.floor(key / F.lit(float(1 << KEY_BITS)) * p["b"]).cast("long")
+    last = (key < p["low"]) | F.array_contains(p["also"], key)
+    n = F.when(size > 0, p["e"] + last.cast("int")).otherwise(0)
 
     def copy(k: Column) -> Column:
-        final = F.greatest(F.floor((F.col("__low") - 1) / F.lit(float(1 << KEY_BITS)) * F.col("__b")).cast("long"), F.lit(0))
-        at = k * F.col("__b") + F.when(k == F.col("__e"), F.least(block, final)).otherwise(block)
-        shard = F.size(F.filter("__ends", lambda end: end <= at))
-        return F.struct(F.least(shard, F.size("__ends") - 1).alias("shard"), at.alias("block"), F.xxhash64(F.lit(seed), k, F.col("__key")).alias("place"))
+        final = F.greatest(F.floor((p["low"] - 1) / F.lit(float(1 << KEY_BITS)) * p["b"]).cast("long"), F.lit(0))
+        at = k * p["b"] + F.when(k == p["e"], F.least(block, final)).otherwise(block)
+        shard = F.size(F.filter(p["ends"], lambda end: end <= at))
+        return F.struct(F.least(shard, F.size(p["ends"]) - 1).alias("shard"), at.alias("block"), F.xxhash64(F.lit(seed), k, key).alias("place"))
 
     copies = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), copy)).otherwise(F.array().cast("array<struct<shard:int,block:bigint,place:bigint>>"))
-    return both.withColumn("__copies", copies).drop("__s", "__i", "__e", "__low", "__also", "__b", "__ends", "__key")
+    out = F.struct(size.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies"))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias(into))
 
 
 def shards_of(spark: SparkSession) -> int:
@@ -188,12 +192,12 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", seed: int = SEED
     """The mix itself: the rows of docs, repeated as often as taken, dealt to shards and shuffled within each."""
     shards = shards_of(docs.sparkSession)
     plan = plan_mix(C.cut(sized(docs, id_column, seed)), shards, seed=seed)
-    taken = mix(docs, plan, id_column, seed).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__copies").alias("__c"))
-    return taken.repartitionById(shards, F.col("__c.shard")).sortWithinPartitions("__c.shard", "__c.place").drop("__c")
+    name = C.free_name("__mix", docs)
+    taken = mix(docs, plan, name, id_column, seed).withColumn(name, F.explode(f"{name}.copies"))
+    return taken.repartitionById(shards, F.col(f"{name}.shard")).sortWithinPartitions(f"{name}.shard", f"{name}.place").drop(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = plan_mix(C.cut(sized(docs)), shards_of(spark))
-    out = mix(docs, plan)
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__copies")).alias("taken"), F.transform("__copies", lambda c: c["shard"]).alias("shards"))
+    return mix(docs, plan).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.size("mix.copies")).alias("taken"), F.transform("mix.copies", lambda c: c["shard"]).alias("shards"))

@@ -1,16 +1,24 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
 Validated numbers and dates are permuted by a keyed Feistel network over exactly the set of values of their format:
-payment cards (13 to 19 digits with a right check digit, which the result has again), IPv4 addresses, telephone
-numbers (the country code stays), and calendar dates of the years 1600 to 2399 in three notations. Both halves of a
-value live in Z_a x Z_b, each round adds a keyed digest of one half to the other, so the map is a bijection and equal
-values stay linked across documents. Text around a value, separators and lengths of numbers stay as they were.
-E-mail addresses and secrets (32 to 64 hex digits) have no finite format to permute: they get keyed digests.
+
+- payment cards: 13 to 19 digits, 4-4-4-4 or 4-6-5, with a right check digit, which the result has again
+- IBANs with right check digits, which the result has again; country and letters stay
+- social security numbers 3-2-4 in the ranges that are given out
+- IPv4 addresses, and IPv6 addresses of eight groups
+- telephone numbers with a plus and 7 to 15 digits (the country code stays), or in groups of 3-3-4
+- calendar dates of the years 1600 to 2399: year first (with - or /, also before a time), day first with dots, and with
+  slashes month first or, where no such month exists, day first; padded with zeros or not
+
+Both halves of a value live in Z_a x Z_b, each round adds a keyed digest of one half to the other, so the map is a
+bijection and equal values stay linked across documents, however they are separated. Text around a value, separators
+and lengths of numbers stay as they were. E-mail addresses and secrets (32 to 64 hex digits) have no finite format to
+permute: they get keyed digests.
 
 Numbers that fail validation (a wrong check digit, an impossible date or address) aren't personal data and stay.
 
 Defined cases: a null text stays null, a text without matches stays itself; every match in a text of any length is
-replaced; other columns and repeated rows are passed through.
+replaced; other columns and repeated rows are passed through; without a key, given or set, there is an error.
 """
 
 from __future__ import annotations
@@ -27,11 +35,16 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
 ADDRESS = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
-DATE = r"(?<![\w\-./])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w\-/]|\.\d)"
-PHONE = r"(?<![\w+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3}[ .\-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w\-])"
-CARD = r"(?<![\w\-.])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\w\-])"
-#: Looks at the first character before anything dearer.
-NUMBER = rf"(?=[0-9+(])(?:{SECRET}|{ADDRESS}|{DATE}|{PHONE}|{CARD})|(?=[a-fA-F][0-9a-fA-F]{{31}}){SECRET}"
+ADDRESS6 = r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"
+DATE = r"(?<![\w\-./])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!(?!T\d)[\w\-/]|\.\d)"
+PHONE = r"(?<![\w+])(?:\+\d(?:[ .\-]?[( ]?\d\)?){6,14}|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}([\-.])\d{3}\1\d{4})(?![\w\-]|\.\d)"
+SOCIAL = r"(?<![\w\-.])\d{3}-\d{2}-\d{4}(?![\w\-])"
+CARD = r"(?<![\w\-.])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\w\-])"
+IBAN = r"(?<![\w\-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w\-])"
+#: Country calling codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Looks at the first characters before anything dearer. The group that PHONE refers back to is its first.
+NUMBER = rf"(?=[0-9+(])(?:{PHONE}|{SECRET}|{ADDRESS}|{DATE}|{SOCIAL}|{CARD})|(?=[A-Z]{{2}}\d\d){IBAN}|(?=[a-fA-F][0-9a-fA-F]{{31}}){SECRET}|(?=[0-9a-fA-F]{{1,4}}:){ADDRESS6}"
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -62,7 +75,7 @@ def _pow10(n: Column) -> Column:
 
 
 def permute_digits(digits: Column, kind: str, key: str) -> Column:
-    """A string of 2 to 18 digits mapped to one of the same length."""
+    """A string of 2 to 30 digits mapped to one of the same length."""
     n = F.length(digits)
     h = F.floor(n / 2).cast("int")
     out = feistel(F.substr(digits, F.lit(1), h), F.substr(digits, h + 1, n - h), _pow10(h), _pow10(n - h), kind, key)
@@ -102,13 +115,64 @@ def _card(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     def moved(digits: Column) -> Column:
         n = F.length(digits)
-        kept = F.greatest(n - 10, F.lit(0))
+        kept = F.when(m.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0))).otherwise(0)
         new = F.concat(F.substr(digits, F.lit(1), kept), permute_digits(F.substr(digits, kept + 1, n - kept), "phone", key))
         return let(new, lambda x: _refill(m, x))
 
     return let(F.regexp_replace(m, r"\D", ""), moved)
 
 
+def _social(m: Column, key: str) -> Column:
+    """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+    area, group, serial = (F.element_at(F.split(m, "-"), k).cast("long") for k in (1, 2, 3))
+    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - F.when(area > 666, 2).otherwise(1)
+    out = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), "social", key)
+
+    def told(o: Column) -> Column:
+        parts = (o["l"] + F.when(o["l"] >= 665, 2).otherwise(1), F.floor(o["r"] / 9999) + 1, o["r"] % 9999 + 1)
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, F.lit("0")) for x, n in zip(parts, (3, 2, 4), strict=True)])
+
+    return F.when(valid, let(out, told)).otherwise(m)
+
+
+def _mod97(text: Column) -> Column:
+    """The number that a string of digits and capital letters (A counts 10) stands for, modulo 97."""
+
+    def add(total: Column, i: Column) -> Column:
+        c = F.ascii(F.substr(text, i, F.lit(1)))
+        return F.when(c < 58, (total * 10 + c - 48) % 97).otherwise((total * 100 + c - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> Column:
+    def moved(plain: Column) -> Column:
+        country, body = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+        digits = F.regexp_replace(body, r"\D", "")
+        new = let(F.when(F.length(digits) > 1, permute_digits(digits, "iban", key)).otherwise(digits), lambda x: _refill(body, x))
+
+        def checked(b: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, F.lit("0"))
+            return F.concat(check, F.regexp_replace(b, r"\D", ""))
+
+        return F.when(_mod97(F.concat(body, country, F.substr(plain, F.lit(3), F.lit(2)))) == 1, let(let(new, checked), lambda x: _refill(m, x))).otherwise(m)
+
+    return let(F.regexp_replace(m, " ", ""), moved)
+
+
+def _address6(m: Column, key: str) -> Column:
+    groups = F.transform(F.split(m, ":"), lambda g: F.conv(g, 16, 10).cast("long"))
+    size = F.lit(1 << 32).cast("long")
+
+    def half(x: Column, first: int) -> Column:
+        at = [F.element_at(x, first + k) for k in range(4)]
+        out = feistel(at[0] * 65536 + at[1], at[2] * 65536 + at[3], size, size, f"address6-{first}", key)
+        return let(out, lambda o: F.concat_ws(":", *[F.lower(F.hex(v)) for v in (F.floor(o["l"] / 65536), o["l"] % 65536, F.floor(o["r"] / 65536), o["r"] % 65536)]))
+
+    return let(groups, lambda x: F.concat(half(x, 1), F.lit(":"), half(x, 5)))
+
+
 def _address(m: Column, key: str) -> Column:
     p = F.split(m, r"\.")
     at = [F.element_at(p, k).cast("long") for k in (1, 2, 3, 4)]
@@ -128,7 +192,11 @@ def _date(m: Column, key: str) -> Column:
         new = let(out, lambda o: F.date_add(F.lit("1600-01-01").cast("date"), (era * 146097 + o["l"] * 773 + o["r"]).cast("int")))
         return F.when((F.year(day) >= 1600) & (F.year(day) < 2400), F.date_format(new, pattern))
 
-    return F.when(m.contains("-"), F.coalesce(moved("yyyy-MM-dd"), m)).when(m.contains("."), F.coalesce(moved("dd.MM.yyyy"), m)).otherwise(F.coalesce(moved("MM/dd/yyyy"), m))
+    bare = m.rlike(r"(?:^|[/.])\d[/.]")  # a day or month without a leading zero
+    dots = F.when(bare, moved("d.M.yyyy")).otherwise(moved("dd.MM.yyyy"))
+    slashes = F.when(bare, F.coalesce(moved("M/d/yyyy"), moved("d/M/yyyy"))).otherwise(F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy")))
+    own = F.when(m.contains("-"), moved("yyyy-MM-dd")).when(m.contains("."), dots).when(m.rlike("^\\d{4}/"), moved("yyyy/MM/dd")).otherwise(slashes)
+    return F.coalesce(own, m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -142,17 +210,28 @@ def _secret(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """What a match of NUMBER is replaced by; itself if it isn't valid."""
     return (
-        F.when(m.rlike(r"^[0-9a-fA-F]{32,64}$"), _secret(m, key))
+        F.when(m.rlike(rf"^{PHONE}$"), _phone(m, key))
+        .when(m.rlike(r"^[0-9a-fA-F]{32,64}$"), _secret(m, key))
         .when(m.rlike(rf"^{ADDRESS}$"), _address(m, key))
         .when(m.rlike(rf"^{DATE}$"), _date(m, key))
-        .when(m.rlike(rf"^{PHONE}$"), _phone(m, key))
+        .when(m.rlike(rf"^{SOCIAL}$"), _social(m, key))
+        .when(m.contains(":"), _address6(m, key))
+        .when(m.rlike("^[A-Z]"), _iban(m, key))
         .otherwise(_card(m, key))
     )
 
 
 def key_of(spark: SparkSession) -> str:
-    """The secret key of the session; a fixed one only where none is set, as in tests."""
-    return spark.conf.get(KEY_SETTING, "quernel")
+    """The secret key of the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pass a key or set {KEY_SETTING}")
+    return key
+
+
+def shown_key(spark: SparkSession) -> str:
+    """The key of the registered queries: the session's, or a public one, as their tables hold invented data only."""
+    return spark.conf.get(KEY_SETTING, None) or "public-test-key"
 
 
 def _with_key(replaced, key: str):
@@ -175,4 +254,4 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text_column: str = "te
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"), shown_key(spark))

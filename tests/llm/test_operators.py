@@ -1,8 +1,11 @@
 """Small fixtures with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter
+from datetime import date, timedelta
 from fractions import Fraction
 
 import numpy as np
@@ -39,7 +42,8 @@ def plain(df):
 
 def test_mix_meets_its_targets(spark, docs):
     plan = mixing.plan_mix(mixing.sized(docs), 4)
-    rows = mixing.mix(docs, plan).select("doc_id", "source", "__size", "__source_size", "__target", F.size("__copies").alias("n")).collect()
+    shown = lambda p: mixing.mix(docs, p).select("doc_id", "source", "mix.size", "mix.source_size", "mix.target", F.size("mix.copies").alias("n")).collect()
+    rows = shown(plan)
     size = Counter()
     for r in docs.collect():
         size[r["source"]] += len(re.findall(C.WORD, r["text"] or ""))
@@ -47,12 +51,11 @@ def test_mix_meets_its_targets(spark, docs):
     want = dict(zip(order, mixing.targets_of(order, [size[s] for s in order]), strict=True))
     taken = Counter()
     for r in rows:
-        assert r["__source_size"] == size[r["source"]] and r["__target"] == pytest.approx(float(want[r["source"]])) and r["n"] <= 2
-        taken[r["source"]] += r["n"] * r["__size"]
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(float(want[r["source"]])) and r["n"] <= 2
+        taken[r["source"]] += r["n"] * r["size"]
     for s in size:
-        assert taken[s] <= want[s] and want[s] - taken[s] <= max([r["__size"] for r in rows if r["source"] == s], default=0)
-    again = mixing.mix(docs, mixing.plan_mix(mixing.sized(docs), 4)).select("doc_id", "source", "__size", "__source_size", "__target", F.size("__copies").alias("n")).collect()
-    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+        assert taken[s] <= want[s] and want[s] - taken[s] <= max([r["size"] for r in rows if r["source"] == s], default=0)
+    assert sorted(map(repr, rows)) == sorted(map(repr, shown(mixing.plan_mix(mixing.sized(docs), 4))))
 
 
 def test_targets_stop_at_twice_the_source():
@@ -67,6 +70,22 @@ def test_split_tree_deals_every_block():
     assert sum(sizes) == 107
 
 
+def test_shards_own_disjoint_blocks_and_all_of_them(spark, docs):
+    plan = mixing.plan_mix(mixing.sized(docs), 4)
+    copies = mixing.mix(docs, plan).select("source", F.explode("mix.copies").alias("c")).collect()
+    for source, ends in zip(plan.sources, plan.shard_ends, strict=True):
+        own = [r["c"] for r in copies if r["source"] == source]
+        assert all(c["shard"] == min(sum(end <= c["block"] for end in ends), 3) for c in own)
+    assert {r["c"]["shard"] for r in copies} == {0, 1, 2, 3}
+
+
+def test_mix_and_dedup_keep_clashing_columns(spark):
+    rows = [(i, f"one two three {i} {i}", "s", 7, 8, 9, 10) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __key int, __row int, __mix int")
+    for out in (mixing.mixed_documents(docs), simhash.near_dedup(docs)):
+        assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {(7, 8, 9, 10)}
+
+
 def test_mix_of_nothing(spark, docs):
     assert mixing.mixed_documents(docs.limit(0)).columns == docs.columns
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
@@ -82,12 +101,12 @@ def test_a_hot_source_leaves_small_sources_whole(spark, monkeypatch):
     rows = [(i, "w " * (200 if i % 100 == 0 else R.randint(2, 6)), f"s{i // 100}") for i in range(800)] + [(1000 + i, "w " * 3 + str(i), "hot") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     plan = mixing.plan_mix(C.cut(mixing.sized(docs)), 4, stop=1000)
-    got = mixing.mix(docs, plan).select("source", "__size", F.size("__copies").alias("n")).collect()
+    got = mixing.mix(docs, plan).select("source", "mix.size", F.size("mix.copies").alias("n")).collect()
     for source, target, passes in zip(plan.sources, plan.targets, plan.passes, strict=True):
         if source != "hot":
             own = [r for r in got if r["source"] == source]
-            passed_over = [r["__size"] for r in own if r["n"] == passes]
-            assert 0 <= target - sum(r["n"] * r["__size"] for r in own) < min(passed_over) + 1
+            passed_over = [r["size"] for r in own if r["n"] == passes]
+            assert 0 <= target - sum(r["n"] * r["size"] for r in own) < min(passed_over) + 1
 
 
 # --- WARC
@@ -96,21 +115,37 @@ def test_a_hot_source_leaves_small_sources_whole(spark, monkeypatch):
 PAGES = "page_id long, url string, html string, archive string"
 
 
+def located(spark, rows, others, schema=PAGES):
+    first, second = (warc.leaves(spark.createDataFrame(x, schema)) for x in (rows, others))
+    roots, found = warc.audit(first, second)
+    return {r["archive"] for r in roots.collect() if r["root"] != r["replica_root"]}, found.collect()
+
+
 def test_audit_locates_damage(spark):
     rows = [(i, f"http://h/{i}", words(20), "x") for i in range(700)] + [(700, None, None, "x"), (None, "u", "lost", "x"), (5, "http://h/5", "again", "x")]
-    pages = spark.createDataFrame(rows, PAGES)
-    bad = spark.createDataFrame([(i, u, (h + "!" if i in (3, 299, 650) else h), a) for i, u, h, a in rows], PAGES)
-    first, second = warc.leaves(pages), warc.leaves(bad)
-    roots, found = warc.audit(first, second)
-    places = {(r["archive"], r["seq"]): r["page_id"] for r in first.collect()}
-    hit = {places[r["archive"], r["seq"]] for r in found.collect()}
-    assert {3, 299, 650} <= hit and max(hit) <= 767
-    differ = {r["archive"] for r in roots.collect() if r["root"] != r["replica_root"]}
+    change = {3: "!", 299: "much longer than before " * 9, 650: ""}
+    bad = [(i, u, change.get(i, h), a) for i, u, h, a in rows if i != 400] + [(701, "new", "page", "x"), (5, "http://h/5", "again", "x")]
+    differ, found = located(spark, rows, bad)
     assert differ == {0, 1, 2}
-    assert warc.audit(first, first)[1].count() == 0
-    empty = warc.leaves(pages.limit(0))
+    assert {r["archive"] * warc.RECORDS + r["slot"] for r in found} == {3, 299, 400, 650, 701, 5}
+    assert all((r["at"] is None) != (r["replica_at"] is None) for r in found if r["slot"] != 5)
+    at, laid = {}, 0  # the offsets of the first replica's archive 1
+    for i, u, h, _ in rows[256:512]:
+        at[i] = laid
+        laid += len(spark.range(1).select(warc.record(F.lit(i), F.lit(u), F.lit(h)).alias("r")).first()["r"].encode()) if i < 300 else 0
+    assert [r["at"] for r in found if r["archive"] == 1 and r["slot"] == 43 and r["at"] is not None] == [at[299]]
+    same = warc.leaves(spark.createDataFrame(rows, PAGES))
+    assert warc.audit(same, same)[1].count() == 0
+    empty = warc.leaves(spark.createDataFrame([], PAGES))
     assert warc.audit(empty, empty)[0].count() == 0
-    assert warc.audit(first, empty)[1].count() == len(rows)
+    assert warc.audit(same, empty)[1].count() == len(rows)
+
+
+def test_audit_of_an_overfull_slot(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FULL", 4)
+    rows = [(7, "u", f"text {i}", "x") for i in range(300)] + [(8, "u", "t", "x")]
+    differ, found = located(spark, rows, rows[:100] + rows[101:])
+    assert differ == {0} and len(found) == 1 and found[0]["slot"] == 7 and found[0]["replica_at"] is None
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -220,6 +255,29 @@ def test_top_k_equals_brute_force(spark):
     assert vafile.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_takes_any_finite_component(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(200)] + [(300, [1e9] + [0.0] * 7), (301, [1e200, -1.0] + [0.0] * 6), (302, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(max(-vafile.LIMIT, min(vafile.LIMIT, np.floor(x * 64)))) for x in v] + [0] * (8 - len(v))) for i, v in rows]
+    top, low = (1 << 63) - 1, -(1 << 63)
+    want = set()
+    for q, v in whole:
+        best = sorted((-max(low, min(top, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in whole if i != q)[:3]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert set(map(tuple, vafile.top_k(df, F.col("vec_id") >= 0, 3).collect())) == want
+
+
+def test_waves_and_coarse_cells_agree(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=12)]) for i in range(400)], "vec_id long, embedding array<double>")
+    one = plain(vafile.top_k(df, F.col("vec_id") % 5 == 0, 4))
+    monkeypatch.setattr(vafile, "WAVE", 16)
+    monkeypatch.setattr(vafile, "CELLS", 5)
+    monkeypatch.setattr(vafile, "SAMPLE", 50)
+    assert plain(vafile.top_k(df, F.col("vec_id") % 5 == 0, 4)) == one
+
+
 def host_pages(spark, host, texts):
     """Pages of a host as (page_id, url, html)."""
     return spark.createDataFrame([(i, f"http://{host}/{i}", f"<body>{x}</body>") for i, x in enumerate(texts)], "page_id long, url string, html string")
@@ -304,7 +362,52 @@ def test_pseudonyms_keep_formats(spark):
     assert re.search(r"born \d{4}-\d\d-\d\d, \d\d\.\d\d\.\d{4},", out[1]) and "1984-02-29" not in out[1]
     assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4};", out[1]) and "555-7713" not in out[1]
     assert "a.b@c.de" not in out[1] and "04dbebab" not in out[1] and out[1].endswith(" v2.0 1234")
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def network(left, right, a, b, kind, key):
+    """The Feistel network in plain Python."""
+    for k in range(pii.ROUNDS):
+        half = right if k % 2 == 0 else left
+        f = int(hashlib.sha256(f"{key}|{kind}|{a}|{b}|{k}|{half}".encode()).hexdigest()[:15], 16)
+        left, right = ((left + f % a) % a, right) if k % 2 == 0 else (left, (right + f % b) % b)
+    return left, right
+
+
+def moved_digits(d, kind, key):
+    h = len(d) // 2
+    x, y = network(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind, key)
+    return f"{x:0{h}d}{y:0{len(d) - h}d}"
+
+
+def moved_date(d, key):
+    days = (d - date(1600, 1, 1)).days
+    x, y = network(days % 146097 // 773, days % 773 if days < 146097 else days % 146097 % 773, 189, 773, "date", key)
+    return date(1600, 1, 1) + timedelta(days // 146097 * 146097 + x * 773 + y)
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    def one(text):
+        return pii.pseudonymise(spark.createDataFrame([(text,)], "text string"), "k").first()[0]
+
+    body = moved_digits("411111111111111", "card", "k")
+    check = next(str(c) for c in range(10) if luhn(body + str(c)))
+    assert one("4111-1111-1111-1111") == "-".join((body + check)[i : i + 4] for i in (0, 4, 8, 12))
+    x, y = network(10 * 256 + 1, 2 * 256 + 3, 65536, 65536, "address", "k")
+    assert one("10.1.2.3") == f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    new = moved_date(date(1984, 2, 29), "k")
+    assert one("1984-02-29T10:00:00 29.02.1984 29/02/1984 02/29/1984 2/29/1984 1984/02/29") == f"{new}T10:00:00 {new:%d.%m.%Y} {new:%d/%m/%Y} {new:%m/%d/%Y} {new.month}/{new.day}/{new.year} {new:%Y/%m/%d}"
+    n = moved_digits("2079460958", "phone", "k")
+    assert one("+44 20 7946 0958, (+442079460958)") == f"+44 {n[:2]} {n[2:6]} {n[6:]}, (+44{n})"
+    assert one("(555) 123-4567; 555.123.4567") == "({0}) {1}-{2}; {0}.{1}.{2}".format(*(lambda d: (d[:3], d[3:6], d[6:]))(moved_digits("5551234567", "phone", "k")))
+    iban = one("IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00")
+    plain_iban = iban[5:32].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in plain_iban[4:] + plain_iban[:4])) % 97 == 1 and plain_iban[4:] == moved_digits("370400440532013000", "iban", "k") and iban.endswith("not DE88 3704 0044 0532 0130 00")
+    x, y = network(219 - 1, 8 * 9999 + 9998, 898, 99 * 9999, "social", "k")
+    assert one("219-09-9999 000-12-3456") == f"{x + 1 + (x >= 665):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d} 000-12-3456"
+    assert re.fullmatch(r"([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", one("2001:db8:0:0:0:ff00:42:8329")) and one("12:30:45") == "12:30:45"
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame([("x",)], "text string"))
 
 
 def test_feistel_is_a_bijection(spark):
@@ -329,6 +432,33 @@ def test_language_profiles(spark, docs):
     assert {r["lang_pred"] for r in language.predict(df, {}).collect()} == {"und"} and language.learn(df.limit(0)) == {}
 
 
+def test_out_of_place_distance(spark):
+    """Profiles and predictions against a plain version."""
+    def ranked(texts, most):
+        seen = Counter()
+        for t in texts:
+            t = " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())
+            if t:
+                t = f" {t} "
+                seen.update(x for n in (1, 2, 3) for x in (t[i : i + n] for i in range(len(t) - n + 1)) if x != " " and not (n == 3 and x[1] == " "))
+        packed = lambda x: sum(ord(c) << 21 * (len(x) - 1 - i) for i, c in enumerate(x))
+        return [x for x, _ in sorted(((packed(x), n) for x, n in seen.items()), key=lambda y: (-y[1], y[0]))][:most]
+
+    rows = [(i, words(R.randint(1, 60), "aeinrst" if i % 3 else "öäüßkpz"), f"l{i % 3}") for i in range(90)] + [(900, "日本 語", None), (901, "!!", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn(df)
+    fold = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    want = {lang: ranked([t for i, t, own in rows if own == lang and not fold[i]], language.PROFILE) for lang in ("l0", "l1", "l2")}
+    assert learned == want
+    got = {r["doc_id"]: r for r in language.predict(df, learned).collect()}
+    for i, t, _ in rows:
+        own = ranked([t], language.DOCUMENT_GRAMS)
+        away = {lang: sum(abs(p.index(g) - k) if g in p else language.PROFILE for k, g in enumerate(own)) for lang, p in want.items()}
+        best = min(away, key=lambda x: (away[x], x)) if own else "und"
+        assert got[i]["lang_pred"] == best and got[i]["held_out"] == fold[i]
+        assert got[i]["score"] == pytest.approx(1 - away[best] / (language.PROFILE * len(own)) if own else 0)
+
+
 def base(text):
     w = re.findall(C.WORD, text or "")
     seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
@@ -358,6 +488,35 @@ def test_quality_counts_and_verdicts(spark, docs):
     assert quality.train(df, labels.limit(0)) is None and quality.score(df.limit(0), None).count() == 0
 
 
+def test_repeated_windows_are_compared_by_words():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    texts = [" ".join([*"cdefghi", a, *"cdefghi", b]), " \t".join([*"cdefghi", a, *"cdefghi", a])]
+    import pyarrow as pa
+
+    parts = quality._parts(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text", C.Powers())
+    assert quality._base(texts, *parts)["n_repeat_words"].tolist() == [base(t)[4] for t in texts] == [0, 16]
+
+
+def test_verdicts_equal_a_plain_score(spark, docs):
+    good, junk = [(i, words(60, "aeiost"), 1) for i in range(200, 230)], [(i, words(60, "bcdfgh"), 0) for i in range(300, 303)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in good + junk], "doc_id long, text string")
+    model = quality.train(df, spark.createDataFrame([(a, c) for a, _, c in good + junk], "doc_id long, quality int"))
+    assert model is not None  # few rows of a class still train
+    w, powers = np.frombuffer(model[0]), C.Powers()
+    for r in quality.score(df, model).collect():
+        import pyarrow as pa
+
+        text = next(b for a, b, _ in good + junk if a == r["doc_id"])
+        x = np.zeros(quality.DIM)
+        for buckets, _ in quality._families(*quality._parts(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]), "text", powers)):
+            for k in buckets.tolist():
+                x[k] += 1 / len(buckets)
+        p = 1 / (1 + np.exp(-(model[1] + (x @ w - model[2]) * r["n_words"] / (r["n_words"] + quality.SHORT))))
+        assert r["probability"] == pytest.approx(p) and r["kept"] == (not r["base_failed"] and p >= quality.KEEP_AT)
+
+
 # --- pieces
 
 
@@ -378,6 +537,27 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.encoded_and_checked(docs.drop("ids").limit(0)).count() == 0
 
 
+def test_long_runs_side_by_side(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    r = random.Random(4)
+    texts = ["".join(r.choice(x) for _ in range(r.randint(1, 400))) for x in ["thaneringed"] * 150 + ["ab"] * 90 + ["日本aé x"] * 60] + ["a" * 900] * 3
+    texts += [" ".join("".join(r.choice("thaneri") for _ in range(r.randint(30, 90))) for _ in range(40))]
+    for cache in (96 << 20, 1):
+        monkeypatch.setattr(pieces, "CACHE_BYTES", cache)
+        own = pieces.Pieces(open(pieces.MODEL, "rb").read())
+        for _ in range(2):
+            assert [np.frombuffer(x, np.int32).tolist() for x in own.encode_all(texts)] == [sp.encode(t) for t in texts]
+
+
+def test_lanes_forget_what_is_committed():
+    own = pieces.Pieces(open(pieces.MODEL, "rb").read())
+    lanes = pieces.Lanes(own, ["▁" + "thehand" * 300 + str(i) for i in range(pieces.LANES)])
+    widest = []
+    widen = lanes._widen
+    lanes._widen = lambda *a: (widen(*a), widest.append(lanes.ends.shape[1]))
+    assert lanes.ids() and max(widest) < 8 * own.longest
+
+
 def test_stream_commits_early():
     stream = pieces.Stream(pieces.Pieces(open(pieces.MODEL, "rb").read()))
     early = stream.feed("thehand" * 400)
@@ -387,6 +567,41 @@ def test_stream_commits_early():
 # --- pipeline
 
 
+def test_pipeline_on_odd_rows(spark, docs, tmp_path):
+    """Each stage against a plain version, on nulls, empty and long texts, ties, repeats and clashing columns."""
+    import corpus_pipeline
+
+    good, junk = [(i, words(60, "aeiost"), 1) for i in range(200, 260)], [(i, words(60, "aeiost").replace(" ", "%%% "), 0) for i in range(300, 340)]
+    private = [(400, words(40, "aeiost") + " a.b@c.de 4111111111111111"), (401, good[0][1]), (401, good[0][1]), (None, words(40, "aeiost"))]
+    rows = docs.union(spark.createDataFrame([(a, b, "en", f"s{k % 3}", 1, 2, "clash", "clash") for k, (a, b, *_) in enumerate(good + junk + private)], DOCS))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(a, c, 0) for a, _, c in good + junk], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now, seen = rows, []
+    for _, stage in corpus_pipeline.STAGES:
+        now = C.cut(stage(spark, now, str(tmp_path)))
+        seen.append(now)
+    ruled, single, masked, mixed, encoded = seen
+    assert all(x.columns == rows.columns for x in seen[:4])
+    verdict = {(r["doc_id"], r["n_words"]) for r in quality.score(rows, quality.train(rows, labels)).collect() if r["kept"]}
+    assert Counter(map(tuple, ruled.collect())) == Counter(tuple(r) for r in rows.collect() if (r["doc_id"], base(r["text"])[0]) in verdict)
+    prints = Counter(fingerprint(r["text"]) for r in single.collect())
+    assert set(prints) == {fingerprint(r["text"]) for r in ruled.collect()} or len(prints) < len({fingerprint(r["text"]) for r in ruled.collect()})
+    assert max(prints.values()) == 1 and not any("a.b@c.de" in r["text"] or "4111111111111111" in r["text"] for r in masked.collect())
+    size = Counter()
+    for r in masked.collect():
+        size[r["source"]] += base(r["text"])[0]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.targets_of(order, [size[s] for s in order]), strict=True))
+    taken, times = Counter(), Counter(tuple(r) for r in mixed.collect())
+    for r in mixed.collect():
+        taken[r["source"]] += base(r["text"])[0]
+    assert max(times.values()) <= 2 and all(want[s] - 100 < taken[s] <= want[s] for s in order)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert encoded.columns[: len(rows.columns)] == rows.columns and encoded.columns[-2:] == ["_ids", "round_trip"]
+    assert encoded.count() == mixed.count() and all(r["round_trip"] and r["_ids"] == sp.encode(r["text"]) for r in encoded.collect())
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
