@@ -74,3 +74,38 @@ def atomic_support(any_option: Column, outcome: Column, population: Column, comp
     nulls = sum((c.isNull().cast("int") for c in every), F.lit(0))
     bad = nulls.between(1, 3) | (complete & ~(any_option & outcome & population))
     return F.when(nulls == 4, "unknown").when(bad, F.raise_error(F.lit("invalid combination of answers")).cast("string")).when(complete, "direct").when(outcome & (any_option | population), "partial").otherwise("none")
+
+
+def graded(verdict: Column, values: dict[str, float | None]) -> Column:
+    """A verdict's value; an unknown verdict is an error, a value of None null."""
+    out = F.when(verdict.isNull(), F.lit(None).cast("double"))
+    for name, value in values.items():
+        out = out.when(verdict == name, F.lit(value).cast("double"))
+    return out.otherwise(F.raise_error(F.concat(F.lit("verdict "), verdict)).cast("double"))
+
+
+def stage_scores(rows: DataFrame, key: list[str], value: str, weight: str, listed: Column) -> DataFrame:
+    """Per key the weighted mean (null if a value is), `complete`: whether all rows are listed, `material`: a value of 0."""
+    w = F.col(weight)
+    mean = F.when(F.count(value) == F.count("*"), F.sum(F.col(value) * w) / F.sum(w))
+    return rows.groupBy(*key).agg(mean.alias("score"), F.bool_and(listed).alias("complete"), F.bool_or(F.coalesce(F.col(value) == 0, F.lit(False))).alias("material"))
+
+
+def dimension_scores(rows: DataFrame, key: str, text: str, verdict: str, values: dict[str, float], exempt: str) -> DataFrame:
+    """Per key the mean over distinct texts (case and white space aside) of their least values; null if one isn't known."""
+    same = F.lower(F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")))
+    value = F.coalesce(*[F.when(F.col(verdict) == name, F.lit(v)) for name, v in values.items()])
+    own = rows.filter(F.col(verdict) != exempt).groupBy(key, same.alias("__t")).agg(F.when(F.count(value) == F.count("*"), F.min(value)).alias("__v"))
+    return own.groupBy(key).agg(F.when(F.count("__v") == F.count("*"), F.avg("__v")).alias("score"))
+
+
+def known_mean(parts: list[tuple[Column, float]]) -> Column:
+    """The weighted mean of those parts that aren't null; null without any."""
+    total = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts), F.lit(0.0))
+    weight = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    return F.when(weight > 0, total / weight)
+
+
+def reasons(rules: list[tuple[Column, str]]) -> Column:
+    """The names of the rules that hold, each once, in order."""
+    return F.array_distinct(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for c, name in rules]), lambda x: x.isNotNull()))

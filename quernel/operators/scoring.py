@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def _times(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+def _times(low: Column, term: str) -> Column:
+    """How often a token stands in a lower-cased text, without a list of its tokens."""
+    alone = f"{term}(?![a-z0-9])(?<![a-z0-9]{term})" if re.fullmatch("[a-z0-9]+", term) else re.escape(term)
+    return F.regexp_count(low, F.lit(alone))
 
 
 def bm25(chunks: DataFrame, terms: list[str], group: str, text: str, into: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -21,11 +25,11 @@ def bm25_many(chunks: DataFrame, queries: dict[str, list[str]], group: str, text
     """chunks with a BM25 score of each query under its name; queries share one count of terms and one of groups.
 
     N, document frequencies and the mean length are those of the chunk's group. Frequencies of the few query terms
-    are counted within each row, so only a row per group is shuffled besides the join back.
+    are counted within each row, so only a row per group is shuffled. Join groups by size: a row each.
     """
     distinct = sorted({term for terms in queries.values() for term in terms})
-    scored = chunks.withColumn("__words", X.tokens(F.col(text)))
-    scored = scored.withColumns({"__len": F.size("__words")} | {f"__f{k}": _times(F.col("__words"), term) for k, term in enumerate(distinct)}).drop("__words")
+    scored = chunks.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
+    scored = scored.withColumns({"__len": F.regexp_count("__low", F.lit(X.TOKEN))} | {f"__f{k}": _times(F.col("__low"), term) for k, term in enumerate(distinct)}).drop("__low")
     stats = scored.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__f{k}") > 0).cast("int")).alias(f"__d{k}") for k in range(len(distinct))])
     both = scored.join(stats, F.col(group).eqNullSafe(F.col("__g")))
     norm = k1 * ((1 - b) + b * F.col("__len") / F.greatest(F.col("__avg"), F.lit(1e-9)))
@@ -85,3 +89,22 @@ def reciprocal_rank_fusion(rows: DataFrame, group: list[str], scores: list[str],
     fused = ranked.filter(keep).withColumn("rrf", F.round(total, 6))
     order = Window.partitionBy(*group).orderBy(F.col("rrf").desc(), *ties)
     return fused.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop(*[f"__r{i}" for i in range(len(scores))])
+
+
+def gated_fusion(rows: DataFrame, group: list[str], orders: list[list[Column]], eligible: Column, score: Column, tie: str, depth: int = 10, most: int = 16, k: int = 60) -> DataFrame:
+    """Ranks r0, r1, ... over all rows of a group; of the eligible rows the `depth` first by any of them, the `most` best by
+    the sum of 1 / (k + rank), and their `rank` by a last score.
+
+    Ranks come before the gate, so a row's ranks don't depend on which others are eligible.
+    """
+    ranked = rows
+    for i, order in enumerate(orders):
+        ranked = ranked.withColumn(f"r{i}", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    names = [f"r{i}" for i in range(len(orders))]
+    own = ranked.filter(eligible)
+    for r in names:
+        own = own.withColumn(f"__{r}", F.row_number().over(Window.partitionBy(*group).orderBy(r)))
+    near = own.filter(F.least(*[F.col(f"__{r}") for r in names]) <= depth).drop(*[f"__{r}" for r in names])
+    fused = sum((1.0 / (k + F.col(r)) for r in names), F.lit(0.0))
+    cut = near.withColumn("__p", F.row_number().over(Window.partitionBy(*group).orderBy(fused.desc(), tie))).filter(F.col("__p") <= most).drop("__p")
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(score.desc(), *names)))

@@ -87,3 +87,55 @@ def append_missing(rows: DataFrame, path: str, key: str) -> None:
 def merged_shards(spark: SparkSession, paths: list[str], schema: str, order: str) -> DataFrame:
     """All shards as one ordered table; a missing shard is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths).orderBy(F.col(order).asc_nulls_last())
+
+
+def seeded_head(rows: DataFrame, key: str, seed: int, most: int, group: list[str]) -> DataFrame:
+    """The first `most` rows of each group in an order that the seed fixes, whatever the partitions."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def write_results(questions: DataFrame, results: DataFrame, key: str, path: str) -> None:
+    """Questions with their results, the original row nested, as JSON."""
+    original = questions.select(key, F.struct(*questions.columns).alias("original_data"))
+    original.join(results, key, "left").write.option("ignoreNullFields", "false").json(path)
+
+
+def content_addressed(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `sha` (SHA-256 of the row without its key, as JSON) and `bucket`, its first two digits."""
+    rest = F.to_json(F.struct(*[c for c in rows.columns if c != key]), {"ignoreNullFields": "false"})
+    return rows.withColumn("sha", F.sha2(rest, 256)).withColumn("bucket", F.substring("sha", 1, 2))
+
+
+def add_documents(rows: DataFrame, key: str, path: str) -> None:
+    """Appends the documents whose content the store lacks, gzipped, in a folder per bucket; what is there stays."""
+    from pyspark.errors import AnalysisException
+
+    new = content_addressed(rows, key).dropDuplicates(["sha"])
+    try:
+        new = new.join(rows.sparkSession.read.json(path).select("sha"), "sha", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
+            raise
+    new.write.mode("append").partitionBy("bucket").option("compression", "gzip").json(path)
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a store, gzipped or not."""
+    return spark.read.json(path)
+
+
+def append_checked(rows: DataFrame, path: str, kind: str, allowed: list[str]) -> None:
+    """Appends events as JSON lines; an unknown kind fails the job before anything is committed."""
+    fits = F.when(F.col(kind).isin(allowed), F.col(kind)).otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("string"))
+    rows.withColumn(kind, fits).write.mode("append").json(path)
+
+
+def sessions(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """Session files as one table; a session id that stands twice is an error."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    n = rows.groupBy(key).agg(F.count("*").alias("__n")).select(F.col(key).alias("__k"), "__n")
+    seen = rows.join(n, F.col(key) == F.col("__k"))
+    return seen.withColumn(key, F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.lit("repeated session")).cast(rows.schema[key].dataType))).drop("__k", "__n")
