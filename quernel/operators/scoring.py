@@ -21,15 +21,23 @@ def bm25(chunks: DataFrame, terms: list[str], group: str, text: str, into: str,
     return bm25_many(chunks, {into: terms}, group, text, k1, b)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if their few files would keep only some of them busy; a large table is left as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def bm25_many(chunks: DataFrame, queries: dict[str, list[str]], group: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """chunks with a BM25 score of each query under its name; queries share one count of terms and one of groups.
+    """chunks without their text, with a BM25 score of each query under its name; queries share one count of terms.
 
     N, document frequencies and the mean length are those of the chunk's group. Frequencies of the few query terms
     are counted within each row, so only a row per group is shuffled. Join groups by size: a row each.
     """
     distinct = sorted({term for terms in queries.values() for term in terms})
-    scored = chunks.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
-    scored = scored.withColumns({"__len": F.regexp_count("__low", F.lit(X.TOKEN))} | {f"__f{k}": _times(F.col("__low"), term) for k, term in enumerate(distinct)}).drop("__low")
+    scored = spread(chunks).withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
+    scored = scored.withColumns({"__len": F.regexp_count("__low", F.lit(X.TOKEN))} | {f"__f{k}": _times(F.col("__low"), term) for k, term in enumerate(distinct)}).drop("__low", text)
+    # both the statistics and the scores read these counts: kept, so that every text is tokenised once
+    scored = scored.persist()
     stats = scored.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__f{k}") > 0).cast("int")).alias(f"__d{k}") for k in range(len(distinct))])
     both = scored.join(stats, F.col(group).eqNullSafe(F.col("__g")))
     norm = k1 * ((1 - b) + b * F.col("__len") / F.greatest(F.col("__avg"), F.lit(1e-9)))
