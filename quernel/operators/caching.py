@@ -42,3 +42,27 @@ def receipts(rows: DataFrame, key: str, order: str, kind: str, delivered: str, a
     before = F.lag(kind).over(Window.partitionBy(key).orderBy(order))
     seen = rows.withColumn("__before", before).filter((F.col(kind) == delivered) & F.col("__before").isin(after))
     return seen.withColumn("receipt", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string")))).drop("__before")
+
+
+def factored(rows: DataFrame, column: str, into: str) -> tuple[DataFrame, DataFrame]:
+    """rows with a number in place of a repeated value, and the dictionary (number, value) that gives it back."""
+    names = rows.select(column).distinct().withColumn(into, F.dense_rank().over(Window.orderBy(column)))  # a row a distinct value
+    return rows.join(names, column).drop(column), names.select(into, column)
+
+
+def call_key(function: str, arguments: dict[str, Column], unused: tuple[str, ...] = ("timeout",)) -> Column:
+    """MD5 of a function's name and its arguments in order of their names, those that don't change the result left out."""
+    return F.md5(F.concat_ws("|", F.lit(function), *[arguments[k].cast("string") for k in sorted(arguments) if k not in unused]))
+
+
+def unexpired(requests: DataFrame, stored: DataFrame, key: str, time: str, at: str, ttl: int) -> DataFrame:
+    """requests with `hit`: whether an entry of the key was stored by then and less than ttl ago."""
+    hit = (F.col(time) >= F.col(at)) & (F.col(time) - F.col(at) < ttl)
+    return requests.join(stored.select(key, at), key, "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
+
+
+def attempts(rows: DataFrame, key: str, order: str, done: Column, most: int) -> DataFrame:
+    """Per key how many of at most `most` attempts it took, and whether one was done."""
+    first = rows.withColumns({"__n": F.row_number().over(Window.partitionBy(key).orderBy(order)), "__d": done}).filter(F.col("__n") <= most)
+    ok = F.min(F.when(F.col("__d"), F.col("__n")))
+    return first.groupBy(key).agg(F.coalesce(ok, F.lit(most)).cast("int").alias("attempts"), ok.isNotNull().alias("refreshed"))

@@ -99,3 +99,25 @@ def checked_config(config: dict) -> None:
         raise ValueError("stop scale or costs")
     if any(w < 0 for own in config["channels"].values() for w in own.values()):
         raise ValueError("channel weights")
+
+
+def similar_titles(asked: DataFrame, titles: DataFrame, key: str, words: str, least: float = 0.8, tokens: int = 5) -> DataFrame:
+    """key, resolved: the least key of another title whose token set is like the asked one's to `least` (Jaccard).
+
+    Rows meet on their rarest tokens only: of n tokens two sets that are alike share one among the first
+    n - ceil(least * n) + 1 in order of rarity, so common words never form pairs.
+    """
+    given = titles.filter(F.size(words) >= tokens)
+    seen = given.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("f"))
+
+    def prefixes(rows: DataFrame, name: str) -> DataFrame:
+        each = rows.select(F.col(key).alias(name), F.explode(words).alias("t")).join(seen, "t")
+        order = Window.partitionBy(name).orderBy("f", "t")
+        n = F.count("*").over(Window.partitionBy(name))
+        placed = each.withColumns({"p": F.row_number().over(order), "n": n})
+        return placed.filter(F.col("p") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select(name, "t")
+
+    met = prefixes(asked.filter(F.size(words) >= tokens), "a").join(prefixes(given, "b"), "t").filter("a <> b").select("a", "b").distinct()
+    both = met.join(given.select(F.col(key).alias("a"), F.col(words).alias("x")), "a").join(given.select(F.col(key).alias("b"), F.col(words).alias("y")), "b")
+    near = both.filter(F.size(F.array_intersect("x", "y")) >= least * F.size(F.array_union("x", "y")))
+    return near.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("resolved"))

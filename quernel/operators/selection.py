@@ -88,3 +88,9 @@ def compacted(rows: DataFrame, key: str, order: str, kind: str, size: str, soft:
     both = marked.join(totals, key).withColumn("stage", stage)
     kept = F.element_at(F.array("__0", "__1", "__2", "__3"), F.col("stage") + 1)
     return both.withColumn("kept", kept).drop("__last", *[f"__{k}" for k in range(4)], *[f"__t{k}" for k in range(3)])
+
+
+def line_sentences(text: Column) -> Column:
+    """Sentences of a text in which a line end also ends one."""
+    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "([.!?]) ", "$1\n"), "\n")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
