@@ -169,6 +169,23 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Keys that are joined by broadcast because each has very many rows: at most so many.
+HOT_KEYS = 50_000
+
+
+def uneven_join(left: DataFrame, right: DataFrame, on: Column, hot: Column) -> DataFrame:
+    """left joined with right, one row a key; rows of right that are hot have very many partners.
+
+    The hot rows are counted and, as long as there are at most HOT_KEYS, sent to the rows of left, which stay where they
+    are; the others are shuffled. Beyond that, all are.
+    """
+    many = cut(right.filter(hot))
+    if not 0 < many.count() <= HOT_KEYS:
+        return left.join(right, on)
+    sent = F.broadcast(many)
+    return left.join(sent, on).unionByName(left.join(sent, on, "left_anti").join(right.filter(~hot), on))
+
+
 def written_to(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again, and the path."""
     import uuid

@@ -37,6 +37,8 @@ from . import common as C
 WINDOW = 50
 MINIMISER = 8
 CROWD = 512
+#: Copies of one string above which it is sent to its copies instead of the copies to it.
+HOT = 1000
 #: Windows of one super-k-mer at most; a longer run of one minimiser (a periodic text) is cut here.
 LONGEST = 512
 
@@ -194,10 +196,10 @@ def covered_spans(docs: DataFrame, id_column: str = "doc_id") -> dict[str, DataF
     span = f"doc {kind}, row long, a int, b int"
     named = docs.filter(F.col(f"`{id_column}`").isNotNull() & F.col("text").isNotNull()).select(F.col(f"`{id_column}`").alias("doc"), "row", "text")
     found = C.written(named.mapInArrow(_occurrences, f"mini long, d1 long, d2 long, doc {kind}, row long, start int, n int"))
-    kinds = C.written(found.groupBy("mini", "d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("last")))
+    kinds = C.written(found.groupBy("mini", "d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("times")))
     # 1: later copies of a string, whole
-    shared = kinds.filter("least < last").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), "least")
-    later = found.join(shared, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2"))).filter("doc > least")
+    shared = kinds.filter("least < last").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), "least", "times")
+    later = C.uneven_join(found, shared, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), F.col("times") > HOT).filter("doc > least")
     whole = later.select("doc", "row", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
     # 2: minimisers with several strings in several documents
     several = kinds.groupBy("mini").agg(F.count("*").alias("kinds"), F.min("least").alias("lo"), F.max("last").alias("hi")).filter("kinds > 1 and lo < hi")

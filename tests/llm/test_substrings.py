@@ -41,9 +41,10 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("crowd", [512, 2])
-def test_equals_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, hot", [(512, 1000), (2, 1000), (512, 3)])
+def test_equals_brute_force(spark, monkeypatch, crowd, hot):
     monkeypatch.setattr(S, "CROWD", crowd)
+    monkeypatch.setattr(S, "HOT", hot)
     rows = fixture()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string")
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in S.remove_repeats(docs).collect()}
