@@ -62,3 +62,9 @@ def three_slots(rows: DataFrame, within: list[str], order: list[Column], reader:
     last = open_to & (F.row_number().over(w.orderBy(open_to.desc(), F.col("__e").desc(), "__u", "__r")) == 1)
     slot = F.when(F.col("__r") == 1, 1).when(F.col("__c"), 2).when(F.col("__t"), 3)
     return known.withColumn("__t", last).withColumn("slot", slot).filter("slot is not null").drop("__r", "__e", "__c", "__q", "__u", "__rest", "__t")
+
+
+def limited(rows: DataFrame, order: list[Column], k: int, into: str = "rank") -> DataFrame:
+    """The k first rows of all with their places: a top-k in every partition, then one of k rows each."""
+    head = rows.orderBy(*order).limit(k)
+    return head.withColumn(into, F.row_number().over(Window.orderBy(*order)))  # k rows

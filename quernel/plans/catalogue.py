@@ -265,13 +265,15 @@ def authority_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("page_id", "host").agg(best.alias("authority"), (best >= 100).alias("high"))
 
 
-@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS n, list_distinct(regexp_extract_all(text[:200], '[0-9]+(?:[.][0-9]+)?')) AS c FROM documents)
-SELECT doc_id, len(c) AS claimed, len(list_filter(c, lambda v: NOT list_contains(n, v))) AS unsupported FROM x WHERE len(c) > 0""")
+@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.][0-9]+)?')) AS c, doc_id // 2 AS pair, doc_id % 2 = 0 AS claims FROM documents)
+SELECT a.doc_id, len(a.c) AS claimed, len(list_filter(a.c, lambda v: NOT list_contains(coalesce(b.c, []), v))) AS unsupported FROM x a LEFT JOIN x b ON a.pair = b.pair AND NOT b.claims WHERE a.claims AND len(a.c) > 0""")
 def claim_numbers_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that the opening of a text claims and the whole text doesn't have."""
-    claim, cited = X.numbers(F.substring("text", 1, 200)), X.numbers(F.col("text"))
-    rows = t(spark, sf_dir, "documents").select("doc_id", claim.alias("c"), cited.alias("n"))
-    return rows.filter(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("claimed"), F.size(F.array_except("c", "n")).cast("long").alias("unsupported"))
+    """Numbers that a text claims and the text cited for it (the next document) doesn't have."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), X.numbers(F.col("text")).alias("c"))
+    cited = rows.filter("doc_id % 2 = 1").select(F.col("pair").alias("p"), F.col("c").alias("n"))
+    both = rows.filter("doc_id % 2 = 0 and size(c) > 0").join(cited, F.col("pair") == F.col("p"), "left")
+    known = F.coalesce("n", F.array().cast("array<string>"))
+    return both.select("doc_id", F.size("c").cast("long").alias("claimed"), F.size(F.array_except("c", known)).cast("long").alias("unsupported"))
 
 
 _SCRIPT_SQL = "CASE WHEN len(regexp_extract_all(regexp_replace(coalesce({0}, ''), '<[^>]*>', '', 'g'), '[一-鿿]')) >= 12 THEN 'cjk' WHEN len(regexp_extract_all(regexp_replace(coalesce({0}, ''), '<[^>]*>', '', 'g'), '[A-Za-z]')) >= 4 THEN 'latin' ELSE 'none' END"
@@ -311,7 +313,10 @@ def capped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.prefix_budget(docs, ["source"], ["doc_id"], "n_chars", 24000, 5000).drop("n_chars")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(l_quantity AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+f AS (SELECT l_orderkey, line, k, n, CAST(least(greatest(1, 100 // n), s, 100) AS BIGINT) AS granted, 100 - CAST(least(greatest(1, 100 // n), s, 100) AS BIGINT) AS rest FROM r WHERE k = 1
+  UNION ALL SELECT r.l_orderkey, r.line, r.k, r.n, least(greatest(1, f.rest // (r.n - r.k + 1)), r.s, f.rest), f.rest - least(greatest(1, f.rest // (r.n - r.k + 1)), r.s, f.rest) FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.k = f.k + 1)
+SELECT l_orderkey, line, granted FROM f""")
 def fair_share_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").cast("long").alias("size"))
     return budget.fair_share(rows, ["l_orderkey"], "line", "size", 100)
@@ -323,11 +328,12 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH q AS (SELECT item_id, {_TOKENS_C} AS w FROM benchmark), n AS (SELECT conv_id, turn, {_TOKENS_C} AS w FROM conversations WHERE role = 'user'),
-p AS (SELECT n.conv_id, n.turn, q.item_id, len(list_intersect(n.w, q.w)) AS s, len(n.w) AS a, len(q.w) AS b FROM n JOIN q ON n.conv_id % 40 = q.item_id)
+p AS (SELECT n.conv_id, n.turn, q.item_id, len(list_intersect(n.w, q.w)) AS s, len(n.w) AS a, len(q.w) AS b FROM n JOIN q ON n.conv_id % (SELECT count(*) FROM benchmark) = q.item_id)
 SELECT conv_id, turn, item_id, round(CASE WHEN a + b = 0 THEN 1.0 ELSE s / (a + b - s) END, 6) AS jaccard, round(CASE WHEN s = 0 THEN 0.0 ELSE 2.0 * s / (a + b) END, 6) AS f1, round(s / greatest(a, 1), 6) AS overlap FROM p""")
 def overlap_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = t(spark, sf_dir, "benchmark").select("item_id", X.token_set(F.col("text")).alias("qw"))
-    n = t(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", X.token_set(F.col("text")).alias("w"), (F.col("conv_id") % 40).alias("item_id"))
+    n = t(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", X.token_set(F.col("text")).alias("w"))
+    n = n.crossJoin(F.broadcast(q.agg(F.count("*").alias("__items")))).withColumn("item_id", F.col("conv_id") % F.col("__items")).drop("__items")  # one number
     both = n.join(q, "item_id")
     w, qw = F.col("w"), F.col("qw")
     return both.select("conv_id", "turn", "item_id", F.round(X.jaccard(w, qw), 6).alias("jaccard"), F.round(X.set_f1(qw, w), 6).alias("f1"), F.round(X.overlap_share(w, qw), 6).alias("overlap"))
@@ -405,7 +411,7 @@ def failure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failures.failure_counts(t(spark, sf_dir, "events"), "user_id")
 
 
-@query()
+@query("""SELECT event_id, sha256('{' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '"' || k || '":' || CAST(json_extract(props, '$."' || k || '"') AS VARCHAR)), ',') || '}') AS digest FROM events""")
 def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.digest import canonical_digest
 
