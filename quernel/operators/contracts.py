@@ -33,9 +33,9 @@ def stop_value(score: Column, scale: float = 0.1) -> Column:
 
 
 def bound_scores(scores: DataFrame, targets: DataFrame, key: list[str], digest_column: str, score: str) -> DataFrame:
-    """key, score and `bound`: whether the score's digest is the one of its target; a score without a target isn't bound."""
-    own = targets.select(*key, F.col(digest_column).alias("__d"))
-    return scores.join(own, key, "left").select(*key, score, F.col(digest_column).eqNullSafe(F.col("__d")).alias("bound"))
+    """key, score and `bound`: whether the score's digest is that of a target of its key; without a target it isn't bound."""
+    own = targets.groupBy(*key).agg(F.collect_set(digest_column).alias("__d"))
+    return scores.join(own, key, "left").select(*key, score, F.coalesce(F.array_contains("__d", F.col(digest_column)), F.lit(False)).alias("bound"))
 
 
 def cached(requests: DataFrame, cache: DataFrame, key: list[str], result: str) -> DataFrame:

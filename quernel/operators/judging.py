@@ -104,8 +104,3 @@ def known_mean(parts: list[tuple[Column, float]]) -> Column:
     total = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts), F.lit(0.0))
     weight = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
     return F.when(weight > 0, total / weight)
-
-
-def reasons(rules: list[tuple[Column, str]]) -> Column:
-    """The names of the rules that hold, each once, in order."""
-    return F.array_distinct(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for c, name in rules]), lambda x: x.isNotNull()))

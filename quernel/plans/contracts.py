@@ -185,7 +185,7 @@ SELECT conv_id, turn, len(reasons) = 0 AS accepted, array_to_string(list_sort(re
 def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reasons against an answer, each once; accepted without any."""
     text = F.col("text")
-    reasons = judging.reasons([(text.isNull() | (F.trim(text) == ""), "empty"), (F.length(text) < 40, "short"), (text.contains("?"), "open"), (F.col("turn") > 4, "late"), (F.length(text) < 20, "short")])
+    reasons = judging.reasons((text.isNull() | (F.trim(text) == ""), "empty"), (F.length(text) < 40, "short"), (text.contains("?"), "open"), (F.col("turn") > 4, "late"), (F.length(text) < 20, "short"))
     rows = t(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", reasons.alias("r"))
     return rows.select("conv_id", "turn", (F.size("r") == 0).alias("accepted"), F.array_join(F.array_sort("r"), ",").alias("reasons"))
 

@@ -1,6 +1,7 @@
 """Extension registries, XML articles, actions and quotes, sinks of documents, and keyed state on streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,8 +135,10 @@ def test_greedy_takes_what_fits(spark):
 def stream(spark, tmp_path, batches, schema):
     source = tmp_path / "in"
     source.mkdir()
-    for k, batch in enumerate(batches):
-        (source / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(schema, r, strict=True))) for r in batch))
+    for k, batch in enumerate(batches):  # files are read in the order of their times
+        file = source / f"{k}.json"
+        file.write_text("\n".join(json.dumps(dict(zip(schema, r, strict=True))) for r in batch))
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
     return spark.readStream.schema(", ".join(f"{n} {t}" for n, t in schema.items())).option("maxFilesPerTrigger", 1).json(str(source))
 
 
