@@ -173,17 +173,26 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 HOT_KEYS = 50_000
 
 
-def uneven_join(left: DataFrame, right: DataFrame, on: Column, hot: Column) -> DataFrame:
-    """left joined with right, one row a key; rows of right that are hot have very many partners.
+def uneven_join(left: DataFrame, right: DataFrame, on: Column, partners: Column, least: int) -> DataFrame:
+    """left joined with right, one row a key; partners is the number of rows of left that each row of right meets, about.
 
-    The hot rows are counted and, as long as there are at most HOT_KEYS, sent to the rows of left, which stay where they
-    are; the others are shuffled. Beyond that, all are.
+    Keys of more than least partners are hot: they are sent to the rows of left, which stay where they are; the others are
+    shuffled. Where over HOT_KEYS are hot, the limit rises by powers of two until that many remain, so a shuffled key has
+    at most about a HOT_KEYS-th of left.
     """
-    many = cut(right.filter(hot))
-    if not 0 < many.count() <= HOT_KEYS:
+    power = F.floor(F.log2(partners / least))
+    counts = {r["power"]: r["count"] for r in right.filter(partners > least).groupBy(power.alias("power")).count().collect()}  # 64 rows at most
+    lowest, sent = None, 0
+    for p in sorted(counts, reverse=True):
+        sent += counts[p]
+        if sent > HOT_KEYS:
+            break
+        lowest = p
+    if lowest is None:
         return left.join(right, on)
-    sent = F.broadcast(many)
-    return left.join(sent, on).unionByName(left.join(sent, on, "left_anti").join(right.filter(~hot), on))
+    hot = (partners > least) & (power >= lowest)
+    many = F.broadcast(cut(right.filter(hot)))
+    return left.join(many, on).unionByName(left.join(many, on, "left_anti").join(right.filter(~hot), on))
 
 
 def written_to(df: DataFrame) -> tuple[DataFrame, str]:

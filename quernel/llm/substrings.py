@@ -37,7 +37,7 @@ from . import common as C
 WINDOW = 50
 MINIMISER = 8
 CROWD = 512
-#: Copies of one string above which it is sent to its copies instead of the copies to it.
+#: Copies of a string or window, or strings of a minimiser, above which the key is sent to its rows instead of the rows to it.
 HOT = 1000
 #: Windows of one super-k-mer at most; a longer run of one minimiser (a periodic text) is cut here.
 LONGEST = 512
@@ -199,19 +199,20 @@ def covered_spans(docs: DataFrame, id_column: str = "doc_id") -> dict[str, DataF
     kinds = C.written(found.groupBy("mini", "d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("times")))
     # 1: later copies of a string, whole
     shared = kinds.filter("least < last").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), "least", "times")
-    later = C.uneven_join(found, shared, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), F.col("times") > HOT).filter("doc > least")
+    later = C.uneven_join(found, shared, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), F.col("times"), HOT).filter("doc > least")
     whole = later.select("doc", "row", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
     # 2: minimisers with several strings in several documents
     several = kinds.groupBy("mini").agg(F.count("*").alias("kinds"), F.min("least").alias("lo"), F.max("last").alias("hi")).filter("kinds > 1 and lo < hi")
-    several = several.select(F.col("mini").alias("m"), (F.col("kinds") > CROWD).alias("crowd"))
-    wanted = kinds.join(several, F.col("mini") == F.col("m")).groupBy(F.col("least").alias("id")).agg(F.collect_list(F.struct("mini", "d1", "d2", "crowd")).alias("wanted"))
+    several = C.written(several.select(F.col("mini").alias("m"), (F.col("kinds") > CROWD).alias("crowd"), F.col("kinds").alias("strings")))
+    wanted = C.uneven_join(kinds, several, F.col("mini") == F.col("m"), F.col("strings"), HOT).groupBy(F.col("least").alias("id")).agg(F.collect_list(F.struct("mini", "d1", "d2", "crowd")).alias("wanted"))
     strings = C.written(named.join(wanted, F.col("doc") == F.col("id")).select("doc", "row", "text", "wanted").mapInArrow(lambda b: _packed(b, doc_type), f"mini long, crowd boolean, doc {kind}, row long, packed binary, starts array<int>, n int"))
     buckets = strings.filter("not crowd").select("mini", "doc", "row", "packed", "starts", "n").repartition("mini").sortWithinPartitions("mini")
     in_buckets = buckets.mapInArrow(lambda b: _count_buckets(b, doc_type), span)
     # 3: crowded minimisers
     windows = strings.filter("crowd").select("doc", "row", F.col("packed").cast("string").alias("words"), "starts", "n").mapInArrow(_windows, f"w1 long, w2 long, doc {kind}, row long, starts array<int>, k int")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "lo")
-    repeated = windows.join(least, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).filter("doc > lo").select("doc", "row", "k", F.explode("starts").alias("s"))
+    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("copies")).filter("lo < hi")
+    least = C.written(least.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "lo", "copies"))
+    repeated = C.uneven_join(windows, least, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), F.col("copies"), HOT).filter("doc > lo").select("doc", "row", "k", F.explode("starts").alias("s"))
     in_crowds = repeated.select("doc", "row", (F.col("s") + F.col("k")).alias("a"), (F.col("s") + F.col("k") + WINDOW).alias("b"))
     return {"whole strings": whole, "buckets": in_buckets, "crowds": in_crowds}
 

@@ -41,16 +41,26 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("crowd, hot", [(512, 1000), (2, 1000), (512, 3)])
-def test_equals_brute_force(spark, monkeypatch, crowd, hot):
+@pytest.mark.parametrize("crowd, hot, keys", [(512, 1000, 50_000), (2, 1000, 50_000), (2, 3, 50_000), (2, 3, 4), (512, 3, 0)])
+def test_equals_brute_force(spark, monkeypatch, crowd, hot, keys):
     monkeypatch.setattr(S, "CROWD", crowd)
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(C, "HOT_KEYS", keys)
     rows = fixture()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string")
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in S.remove_repeats(docs).collect()}
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("keys", [0, 3, 100])
+def test_uneven_join_loses_no_row(spark, monkeypatch, keys):
+    monkeypatch.setattr(C, "HOT_KEYS", keys)
+    left = spark.range(1000).select(F.floor(F.log2(F.col("id") + 1)).alias("k"), "id")
+    right = left.groupBy(F.col("k").alias("r")).agg(F.count("*").alias("times"))
+    got = C.uneven_join(left, right, F.col("k") == F.col("r"), F.col("times"), 2)
+    assert sorted(r["id"] for r in got.collect()) == list(range(1000))
+
+
 def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(docs).count() == 0
