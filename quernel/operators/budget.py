@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ONE_TASK, running
 
-def prefix_budget(rows: DataFrame, key: list[str], order: list[str], size: str, total: int, each: int | None = None, into: str = "granted") -> DataFrame:
+
+def prefix_budget(rows: DataFrame, key: list[str], order: list[str], size: str, total: int, each: int | None = None, into: str = "granted", one_task: int = ONE_TASK) -> DataFrame:
     """What each row gets, in order, of a total per key and at most `each` per row: a running sum, no fold."""
     capped = F.least(F.col(size), F.lit(each)) if each else F.col(size)
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(into, F.least(capped, F.greatest(F.lit(0), F.lit(total) - F.coalesce(F.sum(capped).over(before), F.lit(0)))).cast("long"))
+    upto = running(rows, key, order, {"__upto": F.coalesce(capped, F.lit(0))}, one_task=one_task)
+    before = F.col("__upto") - F.coalesce(capped, F.lit(0))
+    return upto.withColumn(into, F.least(capped, F.greatest(F.lit(0), F.lit(total) - before)).cast("long")).drop("__upto")
 
 
 def fair_share(rows: DataFrame, key: list[str], order: str, size: str, total: int) -> DataFrame:

@@ -43,18 +43,24 @@ def ledger_violations(old: DataFrame, new: DataFrame, key: str, content: str) ->
 def near_actions(log: DataFrame, key: list[str], order: str, words: Column, at_least: float = 0.85) -> DataFrame:
     """Rows whose token set is near that of an earlier row of the same key; a count of such rows.
 
-    Only rows of one key that share a token are compared: rows are joined on their tokens and the shared ones counted,
-    so a key of any size never forms all pairs of rows without a word in common. Rows without tokens match each other.
+    Two sets this near share a token among the first n - ceil(at_least * n) + 1 of each in any common order. Long
+    tokens come first, as they are rare: rows are joined on these few only, then whole sets are compared. Rows without
+    tokens match each other. Key and order name a row.
     """
-    named = log.select(*key, order, words.alias("__w")).withColumn("__n", F.size("__w"))
-    each = named.select(*key, order, "__n", F.explode(F.when(F.col("__n") > 0, F.col("__w")).otherwise(F.array(F.lit("")))).alias("__t"))
+    named = log.select(*key, order, words.alias("__w"))
+    by_length = F.array_sort(F.transform("__w", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    n = F.size("__w")
+    lead = F.slice(by_length, F.lit(1), (n - F.ceil(at_least * n - 1e-9) + 1).cast("int"))
+    each = named.select(*key, order, n.alias("__n"), F.explode(F.when(n > 0, F.transform(lead, lambda x: x["w"])).otherwise(F.array(F.lit("")))).alias("__t"))
     other = each.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(order).alias("__o"), F.col("__n").alias("__m"), F.col("__t").alias("__u"))
-    on = [F.col(k) == F.col(f"__{k}") for k in key] + [F.col("__t") == F.col("__u"), F.col("__o") < F.col(order), F.least("__n", "__m") >= at_least * F.greatest("__n", "__m")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    shared = each.join(other, cond).groupBy(*key, order, "__o").agg(F.count("*").alias("__s"), F.first("__n").alias("__n"), F.first("__m").alias("__m"))
-    near = shared.filter((F.col("__n") + F.col("__m") == 0) | (F.col("__s") >= at_least * (F.col("__n") + F.col("__m") - F.col("__s"))))
+    met = (F.col("__t") == F.col("__u")) & (F.col("__o") < F.col(order)) & (F.least("__n", "__m") >= at_least * F.greatest("__n", "__m"))
+    for k in key:
+        met = met & (F.col(k) == F.col(f"__{k}"))
+    pairs = each.join(other, met).select(*key, order, "__o").distinct()
+    earlier = named.select(*key, F.col(order).alias("__o"), F.col("__w").alias("__v"))
+    sets = pairs.join(named, [*key, order]).join(earlier, [*key, "__o"])
+    shared = F.size(F.array_intersect("__w", "__v"))
+    near = sets.filter(shared >= at_least * (F.size("__w") + F.size("__v") - shared))
     return near.groupBy(*key, order).agg(F.count("*").alias("near_before"))
 
 

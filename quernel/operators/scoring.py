@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranking import ranked
 
 
 def _times(low: Column, term: str) -> Column:
@@ -81,22 +82,21 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def rank_in(group: list[str], score: str, ties: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce(F.col(score), F.lit(0.0)).desc(), *ties))
-
-
 def reciprocal_rank_fusion(rows: DataFrame, group: list[str], scores: list[str], ties: list[str], depth: int = 8, most: int = 12, k: int = 60) -> DataFrame:
-    """Rows in the first `depth` of any score, by the sum of 1 / (k + rank) over those scores, the `most` best."""
-    ranked = rows
-    for i, s in enumerate(scores):
-        ranked = ranked.withColumn(f"__r{i}", rank_in(group, s, ties))
-    keep, total = F.lit(False), F.lit(0.0)
+    """Rows in the first `depth` of any score, by the sum of 1 / (k + rank) over those scores, the `most` best.
+
+    Group and ties name a row. Every score is cut to its first `depth` in each task before rows travel.
+    """
+    each = rows.withColumn("__x", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(s, F.lit(0.0)).cast("double").alias("s")) for i, s in enumerate(scores)])))
+    first = top_per_group(each, [*group, "__x.i"], [F.col("__x.s").desc(), *[F.col(c) for c in ties]], depth, "__r")
+    rest = [c for c in rows.columns if c not in (*group, *ties)]
+    ranks = [F.min(F.when(F.col("__x.i") == i, F.col("__r"))).alias(f"__r{i}") for i in range(len(scores))]
+    met = first.groupBy(*group, *ties).agg(*[F.first(c).alias(c) for c in rest], *ranks)
+    total = F.lit(0.0)
     for i in range(len(scores)):
-        keep = keep | (F.col(f"__r{i}") <= depth)
-        total = total + F.when(F.col(f"__r{i}") <= depth, 1.0 / (k + F.col(f"__r{i}"))).otherwise(0.0)
-    fused = ranked.filter(keep).withColumn("rrf", F.round(total, 6))
-    order = Window.partitionBy(*group).orderBy(F.col("rrf").desc(), *ties)
-    return fused.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop(*[f"__r{i}" for i in range(len(scores))])
+        total = total + F.coalesce(1.0 / (k + F.col(f"__r{i}")), F.lit(0.0))
+    fused = met.select(*rows.columns, F.round(total, 6).alias("rrf"))
+    return top_per_group(fused, group, [F.col("rrf").desc(), *[F.col(c) for c in ties]], most, "place")
 
 
 def gated_fusion(rows: DataFrame, group: list[str], orders: list[list[Column]], eligible: Column, score: Column, tie: str, depth: int = 10, most: int = 16, k: int = 60) -> DataFrame:
@@ -105,13 +105,13 @@ def gated_fusion(rows: DataFrame, group: list[str], orders: list[list[Column]],
 
     Ranks come before the gate, so a row's ranks don't depend on which others are eligible.
     """
-    ranked = rows
+    placed = rows
     for i, order in enumerate(orders):
-        ranked = ranked.withColumn(f"r{i}", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        placed = ranked(placed, group, order, f"r{i}")
     names = [f"r{i}" for i in range(len(orders))]
-    own = ranked.filter(eligible)
+    own = placed.filter(eligible)
     for r in names:
-        own = own.withColumn(f"__{r}", F.row_number().over(Window.partitionBy(*group).orderBy(r)))
+        own = ranked(own, group, [F.col(r)], f"__{r}")
     near = own.filter(F.least(*[F.col(f"__{r}") for r in names]) <= depth).drop(*[f"__{r}" for r in names])
     fused = sum((1.0 / (k + F.col(r)) for r in names), F.lit(0.0))
     cut = near.withColumn("__p", F.row_number().over(Window.partitionBy(*group).orderBy(fused.desc(), tie))).filter(F.col("__p") <= most).drop("__p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def broken_chain(rows: DataFrame, key: list[str], order: list[str], before: str, after: str) -> DataFrame:
     """Rows whose `before` isn't the previous row's `after`; a key's first row is whole."""
@@ -23,8 +25,15 @@ def terminal_order(rows: DataFrame, key: list[str], order: str, final: Column, s
 
 
 def first_seen(rows: DataFrame, key: list[str], order: str, content: Column, into: str = "is_new") -> DataFrame:
-    """Whether no earlier row of the key has the same content."""
-    return rows.withColumn(into, F.row_number().over(Window.partitionBy(*key, content).orderBy(order)) == 1)
+    """Whether no earlier row of the key has the same content; `order` is never null and names a row of the key.
+
+    Firsts are pre-aggregated in every task, so a content of very many rows is ordered nowhere.
+    """
+    first = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], content.alias("__c")).agg(F.min(order).alias("__first"))
+    met = F.col("__own").eqNullSafe(F.col("__c"))
+    for i, k in enumerate(key):
+        met = met & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.withColumn("__own", content).join(first, met).select(*rows.columns, (F.col(order) == F.col("__first")).alias(into))
 
 
 def merged_history(rows: DataFrame, key: list[str], order: str, fields: list[str], listed: str) -> DataFrame:
@@ -70,10 +79,11 @@ def with_rationales(log: DataFrame, key: list[str], order: str, is_call: Column,
 
 def fused_head(rows: DataFrame, within: list[str], model: list[Column], value: list[Column], head: int = 10) -> DataFrame:
     """The first `head` rows by model in order of 1 / (20 + model rank) + 1.1 / (20 + value rank), the rest unchanged."""
-    w = Window.partitionBy(*within)
-    ranked = rows.withColumns({"__m": F.row_number().over(w.orderBy(*model)), "__v": F.row_number().over(w.orderBy(*value))})
+    both = ranked(ranked(rows, within, model, "__m"), within, value, "__v")
     score = F.when(F.col("__m") <= head, F.round(1.0 / (20 + F.col("__m")) + 1.1 / (20 + F.col("__v")), 6))
-    return ranked.withColumn("__s", score).withColumn("place", F.row_number().over(w.orderBy(F.col("__s").desc_nulls_last(), "__m"))).withColumnRenamed("__s", "fused").drop("__m", "__v")
+    scored = both.withColumn("fused", score)
+    first = scored.filter(F.col("__m") <= head).withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(F.col("fused").desc(), "__m")))
+    return first.union(scored.filter(F.col("__m") > head).withColumn("place", F.col("__m"))).drop("__m", "__v")
 
 
 def coverage_chain(rows: DataFrame, key: list[str], order: str, level: str) -> DataFrame:

@@ -104,7 +104,8 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_
 SELECT o_orderstatus, o_custkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY pos, o_orderpriority) AS place FROM f) WHERE place <= 50""")
 def round_robin_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = t(spark, sf_dir, "orders")
-    lists = scoring.top_per_group(orders, ["o_orderstatus", "o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 1 << 30, "pos")
+    orders = orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    lists = ranking.ranked(orders, ["o_orderstatus", "o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], "pos")
     return ranking.round_robin(lists, ["o_orderstatus"], "o_custkey", "pos", "o_orderpriority", 50).select("o_orderstatus", "o_custkey", "place")
 
 
