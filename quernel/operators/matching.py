@@ -47,8 +47,8 @@ def near_actions(log: DataFrame, key: list[str], order: str, words: Column, at_l
     tokens come first, as they are rare: rows are joined on these few only, then whole sets are compared. Rows without
     tokens match each other. Key and order name a row.
     """
-    named = log.select(*key, order, words.alias("__w"))
-    by_length = F.array_sort(F.transform("__w", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    named = log.select(*key, order, words.alias("__w")).persist()  # read four times: tokenised once
+    by_length = F.sort_array(F.transform("__w", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
     n = F.size("__w")
     lead = F.slice(by_length, F.lit(1), (n - F.ceil(at_least * n - 1e-9) + 1).cast("int"))
     each = named.select(*key, order, n.alias("__n"), F.explode(F.when(n > 0, F.transform(lead, lambda x: x["w"])).otherwise(F.array(F.lit("")))).alias("__t"))

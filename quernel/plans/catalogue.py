@@ -266,13 +266,13 @@ def authority_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("page_id", "host").agg(best.alias("authority"), (best >= 100).alias("high"))
 
 
-@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.][0-9]+)?')) AS c, doc_id // 2 AS pair, doc_id % 2 = 0 AS claims FROM documents)
-SELECT a.doc_id, len(a.c) AS claimed, len(list_filter(a.c, lambda v: NOT list_contains(coalesce(b.c, []), v))) AS unsupported FROM x a LEFT JOIN x b ON a.pair = b.pair AND NOT b.claims WHERE a.claims AND len(a.c) > 0""")
+@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.][0-9]+)?')) AS c FROM documents)
+SELECT a.doc_id, len(a.c) AS claimed, len(list_filter(a.c, lambda v: NOT list_contains(coalesce(b.c, []), v))) AS unsupported FROM x a LEFT JOIN x b ON a.doc_id + 1 = b.doc_id""")
 def claim_numbers_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that a text claims and the text cited for it (the next document) doesn't have."""
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), X.numbers(F.col("text")).alias("c"))
-    cited = rows.filter("doc_id % 2 = 1").select(F.col("pair").alias("p"), F.col("c").alias("n"))
-    both = rows.filter("doc_id % 2 = 0 and size(c) > 0").join(cited, F.col("pair") == F.col("p"), "left")
+    """Numbers that each text claims and the text cited for it (the next document) doesn't have."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", X.numbers(F.col("text")).alias("c"))
+    cited = rows.select((F.col("doc_id") - 1).alias("claim"), F.col("c").alias("n"))
+    both = rows.join(cited, F.col("doc_id") == F.col("claim"), "left")
     known = F.coalesce("n", F.array().cast("array<string>"))
     return both.select("doc_id", F.size("c").cast("long").alias("claimed"), F.size(F.array_except("c", known)).cast("long").alias("unsupported"))
 
