@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, pieces, pii, quality, simhash, substrings, vafile, warc
+from . import html, language, mixing, pieces, pii, quality, runs, simhash, substrings, vafile, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         language.op8_language_id,
         quality.op9_quality_rules,
         pieces.op10_sentencepiece,
+        runs.op11_run_detection,
     )
 }
 
