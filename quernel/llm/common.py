@@ -77,12 +77,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_separator: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the index of its first word (n + 1 values)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    sep = _IS_SEP[data]
+    sep = is_separator[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(sep)
@@ -96,6 +96,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words between starts and ends as one Arrow array, in bytes."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    packed = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+
+
+def slices(data: np.ndarray, is_separator: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """Parts of a text of about most bytes that end before a separator, or where the text does."""
+    at = 0
+    while at < len(data):
+        stop = at + most
+        while stop < len(data):
+            cuts = np.flatnonzero(is_separator[data[stop : stop + most]])
+            if len(cuts):
+                stop += int(cuts[0])
+                break
+            stop += most
+        yield data[at : min(stop, len(data))]
+        at = stop
+
+
 def squeezed(data: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bytes with each stretch of white space as one space, and where each byte of data (and the end) then stands."""
     sep = _IS_SEP[data]

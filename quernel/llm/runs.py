@@ -129,17 +129,6 @@ def narrowed(codes: np.ndarray, first: np.ndarray, least_length: int = LEAST_LEN
     return [(int(at[i]), int(at[j - 1]) + 1) for i, j in zip(edges, ends, strict=True)]
 
 
-def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The words as one Arrow array, in bytes."""
-    edge = np.zeros(len(data) + 1, np.int8)
-    edge[starts] += 1
-    edge[ends] -= 1
-    packed = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
-    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
-
-
-
 #: Given an id and a number of words: which word of the text stands at each place, or None for the text as it is.
 Rearrange = Callable[[object, int], "np.ndarray | None"]
 
@@ -156,7 +145,7 @@ def collapsed(
         for batch in C.chunks(batches, text_column):
             data, offsets = C.utf8(batch.column(text_column))
             starts, ends, first = C.word_spans(data, offsets)
-            words = _words(data, starts, ends)
+            words = C.word_array(data, starts, ends)
             place = np.arange(len(words))
             for k, key in enumerate(batch.column(id_column).to_pylist() if rearrange else ()):
                 moved = rearrange(key, int(first[k + 1] - first[k]))
