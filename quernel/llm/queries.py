@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, html, language, mixing, pieces, pii, quality, runs, simhash, substrings, vafile, warc
+from . import chat, divergence, html, language, mixing, pieces, pii, quality, runs, simhash, substrings, vafile, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,8 +18,9 @@ QUERIES = {
         quality.op9_quality_rules,
         pieces.op10_sentencepiece,
         runs.op11_run_detection,
+        chat.op12_chat_formatting,
         divergence.op13_source_divergence,
     )
 }
 
-ORACLE_SQL = {"op2_warc_fixity": warc.OP2_SQL, "op3_substring_dedup": substrings.OP3_SQL, "op6_exact_top_k": vafile.OP6_SQL, "op13_source_divergence": divergence.OP13_SQL}
+ORACLE_SQL = {"op2_warc_fixity": warc.OP2_SQL, "op3_substring_dedup": substrings.OP3_SQL, "op6_exact_top_k": vafile.OP6_SQL, "op12_chat_formatting": chat.OP12_SQL, "op13_source_divergence": divergence.OP13_SQL}
