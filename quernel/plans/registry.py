@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import browsing, catalogue, contracts, evidence, flows, ledgers, packing, parsing, training  # noqa: F401
+    from . import browsing, catalogue, contracts, evidence, flows, ledgers, packing, parsing, records, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
