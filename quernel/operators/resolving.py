@@ -29,11 +29,11 @@ def is_article(url: Column) -> Column:
 
 
 def _prefixes(rows: DataFrame, key: str, seen: DataFrame, least: float) -> DataFrame:
-    """key, t: of n tokens the n - ceil(least * n) + 1 that fewest records have."""
-    each = rows.select(key, F.explode("__words").alias("t")).join(seen, "t")
+    """key, __t: of n tokens the n - ceil(least * n) + 1 that fewest records have."""
+    each = rows.select(key, F.explode("__words").alias("__t")).join(seen, "__t")
     own = Window.partitionBy(key)
-    placed = each.withColumns({"p": F.row_number().over(own.orderBy("f", "t")), "n": F.count("*").over(own)})
-    return placed.filter(F.col("p") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select(key, "t")
+    placed = each.withColumns({"__p": F.row_number().over(own.orderBy("__f", "__t")), "__n": F.count("*").over(own)})
+    return placed.filter(F.col("__p") <= F.col("__n") - F.ceil(least * F.col("__n")) + 1).select(key, "__t")
 
 
 def title_matches(articles: DataFrame, records: DataFrame, article: str, record: str, least: float = 0.8, tokens: int = 5) -> DataFrame:
@@ -44,10 +44,10 @@ def title_matches(articles: DataFrame, records: DataFrame, article: str, record:
     rare ones, which lengthens the prefix and loses nothing.
     """
     asked = articles.filter(F.size("__words") >= tokens)
-    seen = records.select(F.explode("__words").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    met = _prefixes(asked, article, seen, least).join(_prefixes(records, record, seen, least), "t").select(article, record).distinct()
-    both = met.join(asked.select(article, F.col("__words").alias("x")), article).join(records.select(record, F.col("__words").alias("y")), record)
-    near = both.filter(F.size(F.array_intersect("x", "y")) >= least * F.size(F.array_union("x", "y")))
+    seen = records.select(F.explode("__words").alias("__t")).groupBy("__t").agg(F.count("*").alias("__f"))
+    met = _prefixes(asked, article, seen, least).join(_prefixes(records, record, seen, least), "__t").select(article, record).distinct()
+    both = met.join(asked.select(article, F.col("__words").alias("__x")), article).join(records.select(record, F.col("__words").alias("__y")), record)
+    near = both.filter(F.size(F.array_intersect("__x", "__y")) >= least * F.size(F.array_union("__x", "__y")))
     return near.groupBy(article).agg(F.min(record).alias(record))
 
 

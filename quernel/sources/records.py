@@ -95,5 +95,5 @@ def article_rows(records: DataFrame, key: list[str]) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """path, and the records of every XML file there, one file a text."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("xml"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("xml"))
     return shredded(files, ["path"])
