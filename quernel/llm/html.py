@@ -1,7 +1,8 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
 A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, or by the words of class, id and role) are dropped; that is a prior, which needs no other page.
+comments are dropped, by element, or by class, id and role: a word for such a part alone, or with words of form, not with
+others ("sidebar-left", but not "related-work"). That is a prior, which needs no other page.
 What every other block keeps, inside an article (or main) element or not, is decided by its host: the token streams of
 the host's pages are joined and their suffixes sorted to the depth of RUN tokens by prefix doubling. Boilerplate is a
 run of at least RUN tokens, or a whole shorter block, that stands on at least LEAST pages and on one page in SHARE of the
@@ -49,59 +50,103 @@ SENT_CHARS = 16 << 20
 SENT_HOSTS = 100_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z", re.S)
-NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, each with its value, so that nothing inside a value is read as a name.
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'=]""")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 DROPPED = {"nav", "footer", "aside", "form", "dialog", "menu"}
 #: Dropped without ending the block around them.
-INLINE = {"button", "select", "svg", "math", "object", "canvas", "audio", "video"}
+INLINE = {"button", "select", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video"}
 SCOPES = {"article", "main", "section", "div", "header", "ul", "ol", "table", "body", "figure", "dl", "fieldset", "details", "blockquote", "p", "span", "li", *DROPPED, *INLINE}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "article", "section", "main", "header", "footer", "nav", "aside", "form", "figure", "figcaption", "address", "fieldset", "details", "summary", "body", "html", "hr", "dialog", "menu", "title", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that need no end tag; they hold no state here unless they are named as chrome.
 OPEN_ENDED = {"p", "li", "span"}
 CHROME = set("ad ads advert adverts advertisement advertising promo promotion sponsor sponsored banner sidebar comment comments disqus cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations breadcrumb breadcrumbs menu navbar nav navigation footer masthead pagination pager toolbar widget login search copyright disclaimer gdpr".split())
-NOT_CHROME = {"with", "has", "no", "main", "content", "wrapper", "container", "layout"}
+#: Words that say where or in what form chrome stands. A class with any other word beside one of CHROME names a subject
+#: ("related-work", "copyright-law"), and one with a word of AROUND what stands around chrome ("content-with-sidebar").
+FORM = set("box bar block section list item items wrapper wrap container content inner outer left right top bottom site page global post posts article articles link links button buttons icon icons panel row col column area region group set slot unit text title heading head body primary secondary tertiary user reader header widget widgets large small mobile desktop fixed sticky main home web app js media story blog news entry recent popular trending tags tag tool tools policy bottom footer".split())
+AROUND = {"with", "has", "no", "layout", "without"}
+
+
+def _names_chrome(word: str) -> bool:
+    """Whether a class, id or role names chrome: a word of CHROME alone, or with words of form, short prefixes and numbers."""
+    parts = [p for p in re.split(r"[-_:]+", word) if p]
+    if AROUND.intersection(parts) or parts in (["main"], ["content"]):
+        return False
+    found = [p in CHROME for p in parts]
+    return any(found) and all(c or p in FORM or len(p) <= 2 or not p.isalpha() for p, c in zip(parts, found, strict=True))
 
 
 def _chrome(attributes: str) -> bool:
-    for name, value in NAMED.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role"):
-            for word in value.split():
-                parts = set(re.split(r"[-_:]+", word))
-                if parts & CHROME and not parts & NOT_CHROME or word in ("complementary", "contentinfo", "navigation", "banner", "search"):
-                    return True
+        if name in ("class", "id", "role") and any(_names_chrome(w) or w in ("complementary", "contentinfo") for w in value.split()):
+            return True
     return False
 
 
+def _is_comment(attributes: str) -> bool:
+    """Whether an article is a reader's comment."""
+    return any(name.lower() in ("class", "id", "role") and re.search(r"(?<![a-z])comments?(?![a-z])", value, re.I) for name, value in ATTRIBUTE.findall(attributes))
+
+
+class _Stack:
+    """The open elements and what each makes of its text: every question is answered without a walk through them."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.owns: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.of: dict[str, list[int]] = {"a": [], "d": [], "x": []}
+
+    def kind(self) -> str:
+        """What becomes of text here: dropped within anything dropped, else what the innermost element says."""
+        if self.of["d"]:
+            return "d"
+        return max((places[-1], own) for own, places in self.of.items() if places)[1] if self.of["a"] or self.of["x"] else "u"
+
+    def push(self, name: str, own: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        if own:
+            self.of[own].append(len(self.names))
+        self.names.append(name)
+        self.owns.append(own)
+
+    def place(self, name: str) -> int | None:
+        """Where the innermost element of the name is open; one that needs no end tag isn't closed through an article."""
+        places = self.at.get(name)
+        if not places or name in OPEN_ENDED and any(self.at.get(n) and self.at[n][-1] > places[-1] for n in ("article", "main")):
+            return None
+        return places[-1]
+
+    def close(self, k: int) -> None:
+        """Closes the element at k, and those within it."""
+        while len(self.names) > k:
+            self.at[self.names.pop()].pop()
+            if own := self.owns.pop():
+                self.of[own].pop()
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(kind, text) of each block: kind a for article, d for dropped, u for undecided."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []  # element and what it makes of its text
-
-    def kind() -> str:
-        found = "u"
-        for _, own in stack:
-            if own == "d":
-                return "d"
-            found = own or found
-        return found
+    stack = _Stack()
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append((kind(), text))
+                out.append((stack.kind(), text))
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not any(own == "x" for _, own in stack):
+        if text and not stack.of["x"]:
             parts.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -114,25 +159,21 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif name in ("br", "td", "th", "img"):
             parts.append(" ")
         if closing:
-            if name in SCOPES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if any(own != "x" for _, own in stack[k:]):
-                            flush()
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("article", "main") and name in OPEN_ENDED:
-                        break
+            k = stack.place(name) if name in SCOPES else None
+            if k is not None:
+                if any(own != "x" for own in stack.owns[k:]):
+                    flush()
+                stack.close(k)
             continue
-        if name in VOID or m[3].rstrip().endswith("/") and name in ("svg", "math"):
+        if name in VOID or m[3].rstrip().endswith("/") and name == "svg":
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if name in SCOPES:
-            in_article = any(own == "a" for _, own in stack)
-            chrome = name not in ("body", "article", "main") and m[3].strip() and _chrome(m[3]) or name == "article" and m[3].strip() and re.search(r"\bcomment", m[3]) is not None
+            in_article = bool(stack.of["a"])
+            chrome = name not in ("body", "article", "main") and m[3].strip() and _chrome(m[3]) or name == "article" and m[3].strip() and _is_comment(m[3])
             if name in INLINE or chrome and name == "span":
                 own = "x"
             elif name in DROPPED or chrome or name == "header" and not in_article:
@@ -142,7 +183,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if own in ("d", "x") or name not in OPEN_ENDED:
                 if own == "d":
                     flush()
-                stack.append((name, own))
+                stack.push(name, own)
     flush()
     return out
 

@@ -608,3 +608,33 @@ def test_pipeline_small(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "text", "ids", "round_trip"} <= set(out.columns)
     assert out.filter("not round_trip").count() == 0 and out.count() > 0
+
+
+# --- what a page's marks say
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<article><section id="related-work"><p>A</p></section><div class="social-sciences"><p>B</p></div></article>', ["A", "B"]),
+        ("<div id=search-algorithms>A</div><p class='copyright-law'>B</p>", ["A", "B"]),
+        ('<div data-tip="see class=ad here"><p>A</p></div><div title=\'id="nav"\'>B</div>', ["A", "B"]),
+        ('<div class="content-sidebar">x</div><div class="cookie-banner">x</div><div class="post-share-buttons">x</div><div class="ad-slot-300x250">x</div><div class=ad>x</div>', []),
+        ('<div class="content-with-sidebar">A</div><div id="main-content">B</div>', ["A", "B"]),
+        ("<p>Let <math>x=2</math> hold.</p>", ["Let x=2 hold."]),
+        ('<article class="comment reply">x</article><article class="commentary">A</article><article data-x="comment">B</article>', ["A", "B"]),
+        ("<article><li>A</article><p class=ad>x</p></p>B", ["A", "B"]),
+        ("<nav><div>x</nav>A</div><footer><section>x</footer></section>B", ["A", "B"]),
+    ],
+)
+def test_marks_of_a_page(page, kept):
+    assert [t for kind, t in html.blocks(page) if kind != "d"] == kept
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<p class=ad><article>" + "<div>" * 50_000 + "</p></span>" * 50_000, "<div " + 'class="a" ' * 100_000 + ">", '<div "' * 20_000, "<section>" + "</div>" * 200_000, "<nav>" * 100_000 + "</nav>" * 100_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html.blocks(page + "end")
+    assert time.process_time() - began < 20
