@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +95,22 @@ def stage_scores(rows: DataFrame, key: list[str], value: str, weight: str, liste
     return rows.groupBy(*key).agg(mean.alias("score"), F.bool_and(listed).alias("complete"), F.bool_or(F.coalesce(F.col(value) == 0, F.lit(False))).alias("material"))
 
 
+def case_folded(text: Column) -> Column:
+    """A text in compatibility form (NFKC) without case; texts of ASCII letters alone stay on the JVM."""
+    plain = text.rlike(r"\A[\x00-\x7F]*\z")
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in batch], dtype=object)
+
+    return F.when(plain, F.lower(text)).otherwise(run(F.when(~plain, text)))
+
+
 def dimension_scores(rows: DataFrame, key: str, text: str, verdict: str, values: dict[str, float], exempt: str) -> DataFrame:
-    """Per key the mean over distinct texts (case and white space aside) of their least values; null if one isn't known."""
-    same = F.lower(F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")))
+    """Per key the mean over distinct texts of their least values; null if one isn't known. Texts are the same if they are in
+    compatibility form, case and white space aside."""
+    same = F.trim(F.regexp_replace(case_folded(F.col(text)), r"(?U)\s+", " "))
     value = F.coalesce(*[F.when(F.col(verdict) == name, F.lit(v)) for name, v in values.items()])
     own = rows.filter(F.col(verdict) != exempt).groupBy(key, same.alias("__t")).agg(F.when(F.count(value) == F.count("*"), F.min(value)).alias("__v"))
     return own.groupBy(key).agg(F.when(F.count("__v") == F.count("*"), F.avg("__v")).alias("score"))

@@ -161,14 +161,14 @@ def stage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.stage_scores(rows, ["l_orderkey"], "v", "w", F.col("l_linenumber") <= 6).select("l_orderkey", F.round("score", 6).alias("score"), "complete", "material")
 
 
-@query(r"""WITH r AS (SELECT conv_id, lower(trim(regexp_replace(left(text, 3), '[ \t\n\r]+', ' ', 'g'))) AS key, CASE WHEN turn % 7 = 6 THEN 'not_required' WHEN turn % 5 = 4 THEN 'unobservable' WHEN turn % 2 = 0 THEN 'supported' ELSE 'partial' END AS v FROM conversations WHERE text IS NOT NULL),
-g AS (SELECT conv_id, key, CASE WHEN count(*) FILTER (v = 'unobservable') > 0 THEN NULL ELSE min(CASE v WHEN 'supported' THEN 1.0 ELSE 0.5 END) END AS m FROM r WHERE v <> 'not_required' GROUP BY ALL)
-SELECT conv_id, CASE WHEN count(m) = count(*) THEN round(CAST(avg(m) AS DOUBLE), 6) END AS score FROM g GROUP BY conv_id""")
+@query(r"""WITH r AS (SELECT source, lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS key, CASE WHEN doc_id % 7 = 6 THEN 'not_required' WHEN doc_id % 97 = 4 THEN 'unobservable' WHEN doc_id % 2 = 0 THEN 'supported' ELSE 'partial' END AS v FROM documents WHERE text IS NOT NULL),
+g AS (SELECT source, key, CASE WHEN count(*) FILTER (v = 'unobservable') > 0 THEN NULL ELSE min(CASE v WHEN 'supported' THEN 1.0 ELSE 0.5 END) END AS m FROM r WHERE v <> 'not_required' GROUP BY ALL)
+SELECT source, CASE WHEN count(m) = count(*) THEN round(CAST(avg(m) AS DOUBLE), 6) END AS score FROM g GROUP BY source""")
 def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of equal text count once, with their least value; rows that need no support don't count."""
-    verdict = F.when(F.col("turn") % 7 == 6, "not_required").when(F.col("turn") % 5 == 4, "unobservable").when(F.col("turn") % 2 == 0, "supported").otherwise("partial")
-    rows = t(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", F.substring("text", 1, 3).alias("text"), verdict.alias("v"))
-    return judging.dimension_scores(rows, "conv_id", "text", "v", {"supported": 1.0, "partial": 0.5}, "not_required").select("conv_id", F.round("score", 6).alias("score"))
+    """Rows of equal whole text count once, with their least value; rows that need no support don't count."""
+    verdict = F.when(F.col("doc_id") % 7 == 6, "not_required").when(F.col("doc_id") % 97 == 4, "unobservable").when(F.col("doc_id") % 2 == 0, "supported").otherwise("partial")
+    rows = t(spark, sf_dir, "documents").filter("text is not null").select("source", "text", verdict.alias("v"))
+    return judging.dimension_scores(rows, "source", "text", "v", {"supported": 1.0, "partial": 0.5}, "not_required").select("source", F.round("score", 6).alias("score"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, avg(l_discount * 10) AS a, sum(l_tax * l_quantity) / sum(l_quantity) * 12 AS b, min(l_quantity) / 50 AS c, avg(CASE WHEN l_returnflag = 'A' THEN 1.0e0 WHEN l_returnflag = 'N' THEN 0.0e0 END) AS d FROM lineitem GROUP BY l_orderkey)

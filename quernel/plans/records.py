@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, resolving
+from ..functions import text as X
+from ..operators import alignment, rebuild, resolving
 from ..sources import records
 from .catalogue import t
 from .registry import query
@@ -93,3 +94,45 @@ def state_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = F.when(k % 30 == 1, F.array().cast("array<string>")).otherwise(F.array(k.cast("string")))
     given = rows.select("*", prior.alias("prior_status"), F.lag("evidence_ids").over(own).alias("prior_ids"), opened.alias("opened_ids"))
     return alignment.chain_faults(given, ["user_id"], "event_id")
+
+
+_RANK_SQL = "CASE {} WHEN 'direct' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END"
+
+
+def _item_sql(n: int, status: str, ids: str, given: str) -> str:
+    """Filtered updates of one item and the state before each, in order."""
+    kept = f"list_filter({ids}, lambda x: x = opened)"
+    return f"""u{n} AS (SELECT user_id, event_id, CASE WHEN {status} IN ('partial', 'direct') AND len({kept}) = 0 THEN 'unknown' WHEN len({kept}) < len({ids}) THEN 'partial' ELSE {status} END AS status, {kept} AS ids, len({kept}) < len({ids}) OR ({status} IN ('partial', 'direct') AND len({kept}) = 0) AS cut FROM e WHERE kind = 'state_update' AND {given}),
+b{n} AS (SELECT *, coalesce(lag(status) OVER w, 'unknown') AS was, coalesce(lag(ids) OVER w, []) AS was_ids FROM u{n} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r{n} AS (SELECT user_id, event_id, status, cut OR {_RANK_SQL.format("status")} < {_RANK_SQL.format("was")} OR (len(was_ids) > 0 AND was_ids <> ids) AS revised FROM b{n}),
+s{n} AS (SELECT e.user_id, e.event_id, r{n}.revised, coalesce(last_value(r{n}.status IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.event_id ROWS UNBOUNDED PRECEDING), 'unknown') AS status FROM e LEFT JOIN r{n} USING (user_id, event_id))"""
+
+
+_STATUS_1 = "CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'partial' WHEN 2 THEN 'direct' WHEN 3 THEN 'missing' ELSE 'partial' END"
+_IDS_1 = "CASE WHEN event_id % 5 IN (0, 3) THEN [] WHEN event_id % 7 = 0 THEN ['e' || (event_id % 3), 'x'] ELSE ['e' || (event_id % 3)] END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, props, CASE event_type WHEN 'purchase' THEN 'final' WHEN 'signup' THEN 'decision' ELSE 'state_update' END AS kind, CASE WHEN event_id % 11 = 0 THEN 'e9' ELSE 'e' || (event_id % 3) END AS opened FROM events),
+{_item_sql(1, _STATUS_1, _IDS_1, "true")}, {_item_sql(2, "'direct'", "['e' || (event_id % 3)]", "event_id % 4 <> 0")},
+a AS (SELECT e.*, s1.status || ',' || s2.status AS states, CAST(coalesce(s1.revised::INTEGER, 0) + coalesce(s2.revised::INTEGER, 0) AS INTEGER) AS revised, 5700 + event_id % 400 + length(coalesce(props, '')) AS tokens, event_id % 300 AS target, CASE kind WHEN 'final' THEN 2400 WHEN 'decision' THEN 240 ELSE 1200 END AS reserve FROM e JOIN s1 USING (user_id, event_id) JOIN s2 USING (user_id, event_id))
+SELECT user_id, event_id, kind, states, revised, array_to_string(list_filter([CASE WHEN kind = 'state_update' AND event_id % 4 = 0 THEN 'item_without_update' END, CASE WHEN kind = 'decision' AND event_id % 3 = 0 THEN 'browse_target_outside_current_window' END, CASE WHEN tokens + reserve > 8192 THEN 'input_reserve_overflow' END, CASE WHEN tokens + target > 8192 THEN 'total_overflow' END, CASE WHEN target > reserve THEN 'target_exceeds_generation_cap' END], lambda x: x IS NOT NULL), ',') AS pending FROM a""")
+def stage_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as stages: two items' states carried on, citations checked, budgets, and what keeps a stage out."""
+    k = F.col("event_id")
+    kind = F.when(F.col("event_type") == "purchase", "final").when(F.col("event_type") == "signup", "decision").otherwise("state_update")
+    rows = t(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), F.coalesce("props", F.lit("")).alias("props"))
+    opened = F.when(k % 11 == 0, "e9").otherwise(F.concat(F.lit("e"), (k % 3).cast("string")))
+    evidence = rows.select("user_id", "event_id", F.lit(0).alias("place"), opened.alias("source_id"), F.col("props").alias("text"), F.lit("a").alias("question"))
+    texts = rebuild.scored_evidence(evidence, ["user_id", "event_id"], X.token_set)
+    second = "struct('R2' AS item_id, 'direct' AS status, array('e' || (event_id % 3)) AS evidence_ids)"
+    first = f"struct('R1' AS item_id, {_STATUS_1} AS status, {_IDS_1.replace('[', 'array(').replace(']', ')')} AS evidence_ids)"
+    updates = F.expr(f"CASE WHEN event_id % 4 <> 0 THEN array({first}, {second}) ELSE array({first}) END")
+    none = F.lit(None).cast("array<string>")
+    stages = rows.join(texts, ["user_id", "event_id"]).select(
+        "user_id", "event_id", "kind", "opened", updates.alias("updates"), F.when(F.col("kind") == "decision", "s").alias("chosen"), F.when(k % 3 == 0, F.array(F.lit("o"))).otherwise(F.array(F.lit("o"), F.lit("s"))).alias("candidates"),
+        none.alias("cited"), (5700 + k % 400).cast("int").alias("prompt_tokens"), (k % 300).cast("int").alias("target_tokens"), F.lit(True).alias("eligible"),
+    )
+    items = rows.select("user_id").distinct().select("user_id", F.expr("array(struct('R1' AS item_id, 'one' AS description), struct('R2' AS item_id, 'two' AS description))").alias("items"))
+    done = rebuild.rebuilt(stages, items, "user_id", "event_id")
+    states = F.array_join(F.transform("after", lambda i: i["status"]), ",")
+    return done.select("user_id", "event_id", "kind", states.alias("states"), F.size(F.filter("updates", lambda u: u["revised"])).alias("revised"), F.array_join("pending", ",").alias("pending"))
