@@ -119,6 +119,41 @@ def pack(ranked: DataFrame, sections: DataFrame, key: list[str], section_key: li
     return rows.withColumns({"open": opened, "text_end": F.col("start_char") + F.length("text")}).drop("window", "window_ends", "window_end", "__size")
 
 
+# --- a reader's choice
+
+
+def choice(reply: Column, count: Column, top_k: int) -> Column:
+    """struct<indices, fault>: the places that a reader's reply chooses among `count` chunks, at most top_k, each once.
+
+    The reply holds one object with selected_indices, whatever stands around it. Numbers are cut to whole ones, texts count
+    if they are whole numbers, anything else and places out of range are passed over. A null reply is a reader that is off:
+    the first top_k stand. Faults: no_selection without such a list, no_valid_index if nothing of it is left.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0)), "$.selected_indices", "array<variant>")
+
+    def whole(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        said = F.try_variant_get(x, "$", "string")
+        return F.when(kind == "STRING", F.when(said.rlike(r"\A\s*[+-]?\d{1,9}\s*\z"), F.trim(said).cast("int"))).when(kind != "BOOLEAN", F.try_variant_get(x, "$", "double").cast("int"))
+
+    kept = F.filter(F.array_distinct(F.transform(listed, whole)), lambda i: (i >= 0) & (i < count))
+    first = F.filter(F.transform(F.array(*[F.lit(k) for k in range(top_k)]), lambda k: F.when(k < count, k)), lambda k: k.isNotNull())
+    indices = F.when(reply.isNull(), first).otherwise(F.slice(F.coalesce(kept, F.array().cast("array<int>")), 1, top_k))
+    fault = F.when(reply.isNull(), F.lit(None).cast("string")).when(listed.isNull(), "no_selection").when(F.size(indices) == 0, "no_valid_index")
+    return F.struct(indices.alias("indices"), fault.alias("fault"))
+
+
+def chosen(ranked: DataFrame, replies: DataFrame, key: list[str], rank: str = "rank", reply: str = "reply", top_k: int = 3) -> DataFrame:
+    """The rows of ranked that their key's reply chooses, in `place` from 0, in the reply's order; `fault` on a key's only
+    row, without a place, where the reply chooses nothing. Places count from 0 in order of rank, which is distinct in a key.
+    A key without a reply has a reader that is off."""
+    counts = ranked.groupBy(*key).agg(F.count("*").alias("__n"))
+    told = counts.join(replies.select(*key, F.col(reply).alias("__reply")), key, "left").select(*key, choice(F.col("__reply"), F.col("__n"), top_k).alias("__c"))
+    own = ranked.withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(rank)) - 1).join(told, key)
+    at = F.array_position("__c.indices", F.col("__i")).cast("int") - 1
+    return own.withColumns({"place": F.when(at >= 0, at), "fault": F.col("__c.fault")}).filter("place is not null or (fault is not null and __i = 0)").drop("__i", "__c")
+
+
 # --- previews
 
 #: Where a preview's sentences end, the abbreviations that end none, and the weights of question and focus.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def with_expiry(rows: DataFrame, key: str, time: str, order: str, ttl: int) -> DataFrame:
     """rows (key, time, order) with `hit`: whether an entry not older than ttl was stored; a miss stores a new one.
@@ -46,7 +48,7 @@ def receipts(rows: DataFrame, key: str, order: str, kind: str, delivered: str, a
 
 def factored(rows: DataFrame, column: str, into: str) -> tuple[DataFrame, DataFrame]:
     """rows with a number in place of a repeated value, and the dictionary (number, value) that gives it back."""
-    names = rows.select(column).distinct().withColumn(into, F.dense_rank().over(Window.orderBy(column)))  # a row a distinct value
+    names = ranked(rows.select(column).distinct(), [], [F.col(column).asc()], into)
     return rows.join(names, column).drop(column), names.select(into, column)
 
 

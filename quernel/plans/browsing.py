@@ -133,6 +133,22 @@ def browse_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section_index", "chunk_index", "place", "start_char", "text_end", F.col("text").alias("shown"), "reason")
 
 
+_REPLY = "CASE conv_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN '{{\"selected_indices\": [99, -1, true]}}' ELSE 'so: {{\"selected_indices\": [' || (conv_id % 9) || ', true, \"1\", ' || (conv_id % 3) || ', \"x\", -1, 2.7, null]}} ok' END"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT DISTINCT conv_id, n, list_filter(CASE WHEN conv_id % 6 = 0 THEN [0, 1, 2] WHEN conv_id % 6 IN (1, 2) THEN [] ELSE [conv_id % 9, 1, conv_id % 3, 2] END, lambda x: x < n) AS xs FROM r),
+k AS (SELECT conv_id, list_filter(xs, lambda x, j: list_position(xs, x) = j)[1:3] AS xs FROM c)
+SELECT r.conv_id, r.turn, CAST(CASE WHEN list_contains(xs, i) THEN list_position(xs, i) - 1 END AS INTEGER) AS place, CASE WHEN len(xs) = 0 THEN CASE WHEN r.conv_id % 6 = 1 THEN 'no_selection' ELSE 'no_valid_index' END END AS fault
+FROM r JOIN k ON k.conv_id = r.conv_id WHERE list_contains(xs, i) OR (len(xs) = 0 AND i = 0)""")
+def reader_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks, longest first, and what a reader's reply, some of it nonsense, picks of them."""
+    rows = t(spark, sf_dir, "conversations")
+    ranked = rows.select("conv_id", "turn", F.struct((-F.length("text")).alias("n"), "turn").alias("rank"))
+    replies = rows.select("conv_id").distinct().select("conv_id", F.expr(_REPLY.replace("{{", "{").replace("}}", "}")).alias("reply"))
+    return browsing.chosen(ranked, replies, ["conv_id"]).select("conv_id", "turn", "place", "fault")
+
+
 # --- previews
 
 _FLAT_ITEM = f"trim(regexp_replace(coalesce(text, ''), '{_BLANK}', ' ', 'g'))"

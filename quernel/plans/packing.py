@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import scoring, selection
+from ..operators import ranking, scoring, selection
 from .catalogue import ANCHOR, QUESTION, TOKEN_SQL, _bm25_sql, t
 from .registry import query
 
@@ -199,5 +199,5 @@ def cited_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_resort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows back in the order of a known ordinal, those without one last, ties as they came."""
     known = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = Window.partitionBy("source").orderBy(F.col("quality").desc_nulls_last(), "doc_id")
-    return t(spark, sf_dir, "documents").select("doc_id", "source").join(known, "doc_id", "left").select("doc_id", "source", F.row_number().over(order).alias("place"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", "source").join(known, "doc_id", "left")
+    return ranking.ranked(rows, ["source"], [F.col("quality").desc_nulls_last(), F.col("doc_id")], "place").select("doc_id", "source", "place")
