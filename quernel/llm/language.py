@@ -14,6 +14,7 @@ is not held out and not learned from; repeated rows get the same answer.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,11 @@ DOCUMENT_GRAMS = 300
 MAX_PER_LANGUAGE = 800
 HELD_OUT = 2
 
+#: Characters of a text whose n-grams are counted at once.
+SLICE = 1 << 20
+
 _SPACE = 32
+_BLANK = re.compile(r"\s")
 
 
 def _letters() -> np.ndarray:
@@ -37,8 +42,32 @@ def _letters() -> np.ndarray:
     return np.array([i if chr(i).isalpha() else _SPACE for i in range(0x10000)], np.int64)
 
 
-def grams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text as packed integers, and their counts; none if it has no letter."""
+def slices(text: str, most: int) -> Iterator[str]:
+    """Parts of a text of about most characters, each cut before white space, where no n-gram has more than its edge."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + most)
+        stop = blank.start() if blank else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+def grams(text: str, letters: np.ndarray, most: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text as packed integers, and their counts; none if it has no letter. A long text is counted
+    slice by slice, so that what is held besides it doesn't grow with it."""
+    if len(text) <= most:
+        return _grams(text, letters)
+    found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in slices(text, most):
+        own, n = _grams(part, letters)
+        found, place = np.unique(np.concatenate((found, own)), return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, place, np.concatenate((counts, n)))
+        counts = total
+    return found, counts
+
+
+def _grams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     wide = points >= len(letters)
     base = letters[np.where(wide, 0, points)]
