@@ -141,14 +141,16 @@ def search_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUALITY = ("ering|tion", "copyright|subscribe", "^the ", "^(and|of) ")
 
 
-@query(f"""WITH q AS (SELECT doc_id, coalesce(text, '') AS text, lower(left(coalesce(text, ''), 20)) AS heading FROM documents),
+@query(f"""WITH q AS (SELECT doc_id, coalesce(text, '') AS text, lower(split_part(coalesce(text, ''), chr(10), 1)) AS heading FROM documents),
 r AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{_QUALITY[1]}') AND NOT regexp_matches(text, '{_QUALITY[0]}') THEN 'boilerplate' WHEN regexp_matches(heading, '{_QUALITY[2]}') AND regexp_matches(text, '{_QUALITY[0]}') THEN 'signal_over_heading'
   WHEN regexp_matches(heading, '{_QUALITY[2]}') THEN 'foreign_heading' WHEN regexp_matches(heading, '{_QUALITY[3]}') THEN 'weak_heading' WHEN length(text) < 320 AND NOT regexp_matches(text, '{_QUALITY[0]}') THEN 'short' WHEN regexp_matches(text, '{_QUALITY[0]}') THEN 'signal' ELSE 'general' END AS reason FROM q)
 SELECT doc_id, CASE WHEN reason = 'boilerplate' THEN 'excluded' WHEN reason IN ('foreign_heading', 'weak_heading', 'short') THEN 'context' ELSE 'evidence' END AS quality, reason <> 'boilerplate' AS eligible,
   CAST(CASE WHEN reason = 'boilerplate' THEN 100 WHEN reason IN ('foreign_heading', 'weak_heading', 'short') THEN 2 ELSE 0 END AS DOUBLE) AS penalty, reason FROM r""")
 def passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts by their words; a text's first line is its heading."""
     text = F.coalesce("text", F.lit(""))
-    return t(spark, sf_dir, "documents").select("doc_id", X.passage_quality(F.lower(F.substring(text, 1, 20)), text, *_QUALITY).alias("q")).select("doc_id", "q.*")
+    heading = F.lower(F.split_part(text, F.lit("\n"), F.lit(1)))
+    return t(spark, sf_dir, "documents").select("doc_id", X.passage_quality(heading, text, *_QUALITY).alias("q")).select("doc_id", "q.*")
 
 
 @query(f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, {TOKEN_SQL.replace("text", "url")} AS w FROM pages),

@@ -41,14 +41,16 @@ def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = {"bibliography": "^(the|of) ", "record": "tion", "legal": "ering|ander", "template": "^(le|que|and) ", "controls": "ndth|onthe"}
 
 
-@query(rf"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text, lower(left(coalesce(text, ''), 12)) AS h FROM documents),
+@query(rf"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text, lower(split_part(coalesce(text, ''), chr(10), 1)) AS h FROM documents),
 f AS (SELECT *, len(regexp_extract_all(text, '[.!?](\s|$)')) AS n FROM s), g AS (SELECT *, length(text) >= 180 AND n >= 2 AS prose, regexp_matches(h, '{RULES["template"]}') AS tmpl FROM f),
 r AS (SELECT doc_id, CASE WHEN regexp_matches(h, '{RULES["bibliography"]}') AND regexp_matches(text, '{RULES["record"]}') THEN 'records' WHEN len(regexp_extract_all(text, '{RULES["legal"]}')) >= 2 AND (tmpl OR NOT prose) THEN 'legal' WHEN prose THEN 'prose'
   WHEN len(regexp_extract_all(text, '{RULES["controls"]}')) >= 2 THEN 'controls' WHEN tmpl AND n = 0 AND len(string_split(text, ' ')) >= 3 THEN 'list' ELSE 'unsure' END AS reason FROM g)
 SELECT doc_id, CASE WHEN reason = 'records' THEN 'bibliography' WHEN reason IN ('legal', 'controls', 'list') THEN 'boilerplate' ELSE 'content' END AS kind, reason FROM r""")
 def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts by ordered rules; a text's first line is its heading."""
     text = F.coalesce("text", F.lit(""))
-    return t(spark, sf_dir, "documents").select("doc_id", articles.section_kind(F.lower(F.substring(text, 1, 12)), text, RULES).alias("k")).select("doc_id", "k.*")
+    heading = F.lower(F.split_part(text, F.lit("\n"), F.lit(1)))
+    return t(spark, sf_dir, "documents").select("doc_id", articles.section_kind(heading, text, RULES).alias("k")).select("doc_id", "k.*")
 
 
 @query(rf"""WITH s AS (SELECT conv_id, turn, {_SAFE} AS x FROM conversations)
@@ -199,11 +201,11 @@ def retrieval_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "pointer.url", F.col("pointer.digest").alias("pointer_digest"))
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(left(text, 120), '')), '[a-z0-9]+')) AS w FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5),
-s AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM w a JOIN w b USING (w) WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[a-z0-9]+|[一-鿿]')) AS w FROM documents), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5),
+s AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM w a JOIN w b USING (w) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 j AS (SELECT x, y, k / CAST(p.n + q.n - k AS DOUBLE) AS sim FROM s JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y)
 SELECT x AS doc_id, min(y) AS resolved FROM j WHERE sim >= 0.8 GROUP BY x""")
 def title_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document whose title's words are those of a query's title to four fifths; the queries are every 50th id."""
-    titles = t(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.token_set(F.substring("text", 1, 120)).alias("w"))
-    return contracts.similar_titles(titles.filter("doc_id % 50 = 0"), titles, "doc_id", "w").select("doc_id", "resolved")
+    """For every document the first other one whose title, its first line, has the same words to four fifths."""
+    titles = t(spark, sf_dir, "documents").select("doc_id", X.token_set(F.split_part("text", F.lit("\n"), F.lit(1))).alias("w"))
+    return contracts.similar_titles(titles, titles, "doc_id", "w").select("doc_id", "resolved")
