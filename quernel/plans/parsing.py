@@ -72,19 +72,25 @@ def canonical_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "a.tool", F.get_json_object("a.arguments", "$.owner").alias("owner"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN md5(props) END AS digest FROM events""")
+_ENDED = "text || ' {\"turn\": ' || turn || ', \"say\": \"' || left(replace(replace(replace(text, chr(92), ''), '\"', ''), chr(10), ' '), 20) || '\"}' || CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || repeat(' ', length(text) % 3) ELSE right(text, 1 + conv_id % 2) END"
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, {_ENDED} AS raw FROM conversations WHERE text IS NOT NULL), x AS (SELECT conv_id, turn, regexp_extract(raw, '(\{{[^{{}}]*\}})\s*$', 1) AS o FROM r)
+SELECT conv_id, turn, CASE WHEN json_valid(o) THEN md5(o) END AS digest FROM x""")
 def terminal_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON object that ends an output, fenced or not; none where text follows."""
-    k, p = F.col("event_id") % 4, F.col("props")
-    raw = F.when(k == 0, F.concat(F.lit("so {not json} "), p)).when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(k == 2, p).otherwise(F.concat(p, F.lit(" done")))
-    return t(spark, sf_dir, "events").select("event_id", F.md5(articles.terminal_json(raw)).alias("digest"))
+    """The JSON object that ends an output after a whole text; none where more than white space follows."""
+    raw = F.expr(_ENDED.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)"))
+    return t(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.md5(articles.terminal_json(raw)).alias("digest"))
+
+
+_DAMAGED = "CASE event_id % 3 WHEN 0 THEN left(props, CAST(1 + event_id % (length(props) + 2) AS INTEGER)) WHEN 1 THEN '[' || props || ', ' || left(props, CAST(length(props) - event_id % 2 AS INTEGER)) || ']' ELSE replace(props, '}', ', ' || substr(props, 2)) END"
 
 
-@query("""SELECT event_id, event_id % 4 = 0 AS strict FROM events""")
+@query(f"""WITH r AS (SELECT event_id, {_DAMAGED} AS raw FROM events)
+SELECT event_id, json_valid(raw) AND CASE WHEN json_valid(raw) AND left(raw, 1) = '{{' THEN len(json_keys(raw)) = len(list_distinct(json_keys(raw))) ELSE true END AS strict FROM r""")
 def strict_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.col("props")).when(k == 1, '{"a": 1, "a": 2}').when(k == 2, '{"a": NaN}').otherwise('{"a": [Infinity]}')
-    return t(spark, sf_dir, "events").select("event_id", articles.strict_json(raw).alias("strict"))
+    """Properties cut short, in lists, and with each key twice: what a strict reader takes."""
+    return t(spark, sf_dir, "events").select("event_id", articles.strict_json(F.expr(_DAMAGED)).alias("strict"))
 
 
 @query("""SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand, p_type) AS INTEGER) AS header, p_brand || '/' || p_type AS expanded FROM part""")
