@@ -355,3 +355,31 @@ def test_channel_faults(spark):
     got = scopes.channel_spans(spark.createDataFrame([(i, k, r, "clash") for i, (k, r, _) in enumerate(cases)], "i int, kind string, raw string, name string")).orderBy("i").collect()
     assert [r["fault"] for r in got] == [c[2] for c in cases]
     assert [tuple(x) for x in got[8]["scopes"]] == [("final", 0, len("<answer>a</answer> b</answer>"))] and [tuple(x) for x in got[10]["scopes"]] == [("stop", 2, 13)] and [tuple(x) for x in got[11]["scopes"]] == [("state", 0, 0)]
+
+
+# --- a reader's choice, dictionaries in ranges
+
+
+def test_reader_choices(spark):
+    cases = [
+        ('{"selected_indices": [2, 0, 2, "1", true, 9, -1, null, "x", 1.9]}', [2, 0, 1], None), ('say {"selected_indices": ["0"]} so', [0], None), (None, [0, 1, 2], None), ("", [], "no_selection"), ('{"selected_indices": 3}', [], "no_selection"),
+        ('{"selected_indices": []}', [], "no_valid_index"), ('{"selected_indices": [7]}', [], "no_valid_index"), ('{"other": [1]}', [], "no_selection"), ('{"selected_indices": [1', [], "no_selection"), ('{"selected_indices": [[1], {"a": 1}, 1]}', [1], None),
+    ]
+    frame = spark.createDataFrame([(i, r, 3) for i, (r, _, _) in enumerate(cases)], "i int, r string, n int")
+    got = frame.select("i", browsing.choice(F.col("r"), F.col("n"), 3).alias("c")).orderBy("i").collect()
+    assert [(r["c"]["indices"], r["c"]["fault"]) for r in got] == [c[1:] for c in cases]
+    chunks = spark.createDataFrame([(k, 10 * j, f"{k}{j}") for k in "abcd" for j in range(4)], "k string, rank int, chunk string")
+    replies = spark.createDataFrame([("a", '{"selected_indices": [3, 1]}'), ("b", "no"), ("d", None)], "k string, reply string")
+    rows = browsing.chosen(chunks, replies, ["k"], top_k=2).collect()
+    assert sorted((r["k"], r["place"] if r["place"] is not None else -1, r["chunk"], r["fault"]) for r in rows) == [("a", 0, "a3", None), ("a", 1, "a1", None), ("b", -1, "b0", "no_selection"), ("c", 0, "c0", None), ("c", 1, "c1", None), ("d", 0, "d0", None), ("d", 1, "d1", None)]
+
+
+def test_numbers_without_a_key_over_ranges(spark):
+    from quernel.operators import caching, ranking
+
+    rows = spark.createDataFrame([(f"v{k % 37:02}",) for k in range(400)], "v string")
+    for one_task in (0, 1 << 30):
+        got = ranking.ranked(rows.distinct(), [], [F.col("v").asc()], "n", one_task).collect()
+        assert {r["v"]: r["n"] for r in got} == {f"v{k:02}": k + 1 for k in range(37)}
+    packed, names = caching.factored(rows, "v", "n")
+    assert packed.join(names, "n").count() == 400
