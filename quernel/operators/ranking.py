@@ -54,12 +54,19 @@ def diverse(rows: DataFrame, within: list[str], domain: str, score: str, ties: l
 
 
 def section_first(rows: DataFrame, within: list[str], section: str, order: list[Column], k: int) -> DataFrame:
-    """First rows of every section in rank order, then the rest in rank order; k rows of each group."""
-    by_rank = Window.partitionBy(*within).orderBy(*order)
-    by_section = Window.partitionBy(*within, section).orderBy(*order)
-    ranked = rows.withColumns({"__r": F.row_number().over(by_rank), "__s": F.row_number().over(by_section)})
+    """First rows of every section in rank order, then the rest in rank order; k rows of each group. The order is total.
+
+    Only heads are ordered across tasks: the first row of each section, k of them a group, and the k first rows of a group,
+    among which lie all the others that can count, as each place before one of them is a place of the result too. Each task
+    keeps no more than these of its rows before it hands them on.
+    """
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    leaders = rows.withColumn("__s", place(*within, section)).filter("__s = 1")
+    leaders = leaders.withColumn("__r", place(*within)).filter(F.col("__r") <= k)
+    head = rows.withColumn("__r", place(*within)).filter(F.col("__r") <= k)
+    others = head.withColumn("__s", place(*within, section)).filter("__s > 1")
     final = Window.partitionBy(*within).orderBy(F.col("__s") > 1, "__r")
-    return ranked.withColumn("place", F.row_number().over(final)).filter(F.col("place") <= k).drop("__r", "__s")
+    return leaders.unionByName(others).withColumn("place", F.row_number().over(final)).filter(F.col("place") <= k).drop("__r", "__s")
 
 
 def round_robin(rows: DataFrame, within: list[str], item: str, position: str, lists: str, k: int) -> DataFrame:

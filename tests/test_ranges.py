@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernel.operators import budget, matching, ranking, scoring, trajectory
@@ -75,3 +76,14 @@ def test_first_seen_by_content(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 3, "x"), (None, 4, None), (None, 5, None)], "k string, i long, c string")
     got = {r["i"]: r["is_new"] for r in trajectory.first_seen(rows, ["k"], "i", F.col("c")).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_heads_of_sections_are_those_of_whole_windows(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.choice("abcdef"[: g + 1]), rng.random(), i) for g in range(6) for i in range(rng.choice([1, 3, 40]))]
+    frame = spark.createDataFrame(rows, "g int, s string, x double, i int")
+    order = [F.col("x").desc(), F.col("i")]
+    for k in (1, 3, 7, 60):
+        marked = frame.withColumns({"first": F.row_number().over(Window.partitionBy("g", "s").orderBy(*order)) == 1, "r": F.row_number().over(Window.partitionBy("g").orderBy(*order))})
+        want = marked.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(~F.col("first"), "r"))).filter(F.col("place") <= k).select("g", "s", "x", "i", "place")
+        assert sorted(map(tuple, ranking.section_first(frame, ["g"], "s", order, k).collect())) == sorted(map(tuple, want.collect()))
