@@ -64,6 +64,53 @@ def near_actions(log: DataFrame, key: list[str], order: str, words: Column, at_l
     return near.groupBy(*key, order).agg(F.count("*").alias("near_before"))
 
 
+#: Longs of parities that a set's words are hashed to.
+_PARITIES = 4
+
+
+def set_id(words: Column) -> Column:
+    """The name of a set of words, whatever their order: a digest."""
+    return F.sha2(F.to_json(F.sort_array(words)), 256)
+
+
+def _by_rarity(sets: DataFrame, seen: DataFrame) -> DataFrame:
+    """__set, __n (all of a set's words), __w: those of them that are in seen, rare ones first, and their parities by hash."""
+    place = F.pmod(F.xxhash64("__t"), F.lit(64 * _PARITIES))
+    each = sets.select("__set", F.size("__words").alias("__n"), F.explode("__words").alias("__t")).join(seen, "__t").withColumn("__h", place)
+    parities = [F.bit_xor(F.expr(f"if(__h div 64 = {k}, shiftleft(1L, cast(__h % 64 AS int)), 0L)")).alias(f"__b{k}") for k in range(_PARITIES)]
+    return each.groupBy("__set", "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "__t"))).alias("__w"), *parities)
+
+
+def like_sets(asked: DataFrame, given: DataFrame, least: float) -> DataFrame:
+    """__set, __other: pairs of a set in asked and one in given that are alike to `least` (Jaccard), equal ones included.
+
+    Both frames have __set and __words; each set stands once, so that copies form no pairs. Sets this near share one of their
+    n - ceil(least * n) + 1 rarest words, and after the first one they share both have enough words left. Each word that
+    only one of two sets has turns one parity: where more of them differ than words may, the sets aren't compared. Whole
+    sets are compared in the end.
+    """
+    seen = given.select(F.explode("__words").alias("__t")).groupBy("__t").agg(F.count("*").alias("__f"))
+    right = _by_rarity(given, seen).persist()  # read twice, as is the left: sorted once
+    left = right if asked is given else _by_rarity(asked, seen).persist()
+    size = F.size("__w")
+    lead = F.slice("__w", F.lit(1), F.greatest(size - F.ceil(least * F.col("__n") - 1e-9) + 1, F.lit(0)).cast("int"))
+    bits = [f"__b{k}" for k in range(_PARITIES)]
+
+    def leads(sets: DataFrame, tag: str) -> DataFrame:
+        each = sets.select("__set", "__n", size.alias("__m"), *bits, F.posexplode(lead).alias("__p", "__x"))
+        return each.select(F.col("__x.__t").alias(f"{tag}t"), (F.col("__m") - F.col("__p")).alias(f"{tag}left"), *[F.col(c).alias(f"{tag}{c}") for c in ("__set", "__n", *bits)])
+
+    n, m = F.col("a__n"), F.col("b__n")
+    shared = F.ceil(least / (1 + least) * (n + m) - 1e-9)
+    turned = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in bits), F.lit(0))
+    met = (F.col("at") == F.col("bt")) & (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.least("aleft", "bleft") >= shared) & (turned <= n + m - 2 * shared)
+    pairs = leads(left, "a").join(leads(right, "b"), met).select(F.col("a__set").alias("__set"), F.col("b__set").alias("__other")).distinct()
+    both = pairs.join(left.select("__set", F.col("__n").alias("__i"), F.col("__w").alias("__x")), "__set").join(right.select(F.col("__set").alias("__other"), F.col("__n").alias("__j"), F.col("__w").alias("__y")), "__other")
+    words = lambda c: F.transform(c, lambda x: x["__t"])
+    common = F.size(F.array_intersect(words("__x"), words("__y")))
+    return both.filter(common >= least * (F.col("__i") + F.col("__j") - common)).select("__set", "__other")
+
+
 def recent_count(log: DataFrame, key: list[str], seconds: Column, flag: Column, ttl: int = 900, into: str = "recent") -> DataFrame:
     """Flagged rows of the key within the last ttl seconds, the row itself included."""
     frame = Window.partitionBy(*key).orderBy(seconds).rangeBetween(-ttl, 0)

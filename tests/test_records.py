@@ -38,6 +38,23 @@ def test_titles_match_like_all_pairs(spark):
     assert got == want and len(want) > 20
 
 
+def test_copies_of_titles_meet_once(spark):
+    """3000 copies of a title are one set: 9 million pairs would be joined otherwise; two least keys are kept, not one."""
+    from quernel.operators import contracts, matching
+
+    copy, near, far = "one two three four five".split(), "one two three four five six".split(), "one two seven eight nine".split()
+    rows = [(k, copy[k % 5 :] + copy[: k % 5]) for k in range(1, 3001)] + [(0, near), (3001, far), (3002, ["one", "two"])]
+    frame = spark.createDataFrame(rows, "k long, w array<string>")
+    got = {r["k"]: r["resolved"] for r in contracts.similar_titles(frame, frame, "k", "w").collect()}
+    assert got == {0: 1} | {k: 0 for k in range(1, 3001)}
+    named = frame.select(F.col("w").alias("__words"), matching.set_id(F.col("w")).alias("__set")).dropDuplicates(["__set"])
+    met = matching.like_sets(named, named, 0.8).collect()
+    assert len(met) == 6  # four sets with themselves, and one pair both ways
+    words = lambda name: frame.select(F.col("k").alias(name), F.col("w").alias("__words"))
+    found = {r["x"]: r["y"] for r in resolving.title_matches(words("x"), words("y"), "x", "y").collect()}
+    assert found == {k: 0 for k in range(3001)} | {3001: 3001}
+
+
 RECORD = """<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><Journal><Title>J</Title><JournalIssue><PubDate><Year>2001</Year></PubDate></JournalIssue></Journal>
 <ArticleTitle>A <i>b</i> &amp; c</ArticleTitle><Abstract><AbstractText Label="AIM">One
  two</AbstractText><AbstractText>Three <sub>4</sub></AbstractText></Abstract><AuthorList><Author><LastName>L</LastName><ForeName>F</ForeName></Author><Author><CollectiveName>X</CollectiveName></Author></AuthorList>
