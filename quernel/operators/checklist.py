@@ -78,11 +78,11 @@ def _separator(question: Column, items: Column, word: Column) -> Column:
     return clause | (apart & cue & ~F.left(tail, F.lit(100)).rlike(f"(?iU){TOGETHER}"))
 
 
-def checklist(rows: DataFrame, question: str = "question", anchors: str = "anchors") -> DataFrame:
+def checklist(rows: DataFrame, question: str = "question", anchors: str = "anchors", parting: bool = True) -> DataFrame:
     """rows with `items`, array<struct<id, description, spans>>, `separators`, the connectors between items, and `fault`.
 
     anchors: array<array<string>>, an array of fragments an item, 1 to MOST_ITEMS of them. Every word of the question lies
-    in some item, but for connectors that provably part two. fault is null, or the first of item_count, empty_anchor,
+    in some item, but for connectors that provably part two (with parting off none does). fault is null, or the first of item_count, empty_anchor,
     anchor_missing_or_inside_word:..., uncovered_meaningful_word:..., connector_not_a_proven_task_delimiter:word:place,
     duplicate_items; with a fault there are no items. A null question is empty; null anchors are none.
     """
@@ -95,7 +95,7 @@ def checklist(rows: DataFrame, question: str = "question", anchors: str = "ancho
     holes = S.gaps(F.col("__ordered"), F.col("__reach"), F.length("__asked"))
     bare = F.filter("__words", lambda w: F.exists(holes, lambda g: (g["start"] < w["end"]) & (w["start"] < g["end"])))
     texts = F.transform(bare, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.substr(F.col("__asked"), w["start"] + 1, w["end"] - w["start"]).alias("text")))
-    judged = F.transform(texts, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text"), F.when(F.lower(w["text"]).isin(CONNECTORS), _separator(F.col("__asked"), F.col("__items"), w)).alias("parts")))
+    judged = F.transform(texts, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text"), F.when(F.lower(w["text"]).isin(CONNECTORS), _separator(F.col("__asked"), F.col("__items"), w) if parting else F.lit(False)).alias("parts")))
     found = found.withColumn("__bare", judged)
     lost = F.get(F.filter("__bare", lambda w: ~F.coalesce(w["parts"], F.lit(False))), F.lit(0))
     uncovered = F.when(lost["parts"].isNull(), F.concat(F.lit("uncovered_meaningful_word:"), lost["text"]))
