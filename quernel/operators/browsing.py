@@ -195,11 +195,11 @@ def previewed(text: str, spans: Sequence[Any], target: int, ceiling: int, count:
 _PREVIEW = "struct<spans:array<struct<start:int,end:int>>,shown:string,cut:boolean>"
 
 
-def preview(rows: DataFrame, text: str, score: Callable[[Column], Column], target: int = 96, ceiling: int = 128, by: str = counting.CHARACTERS) -> DataFrame:
+def preview(rows: DataFrame, text: str, score: Callable[[Column], Column], target: int = 96, ceiling: int = 128, by: str = counting.CHARACTERS, end: str = PREVIEW_END) -> DataFrame:
     """rows with `preview`, struct<spans, shown, cut>: the sentences of the text (white space compacted) that score gives most,
-    within `ceiling` tokens. Never empty for a text with anything in it, if the ceiling lets one token through."""
+    within `ceiling` tokens; a sentence ends with a match of `end`. Never empty for a text with anything in it, if the ceiling lets one token through."""
     flat = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
-    parts = rows.withColumn("__flat", flat).withColumn("__spans", P.spans_by(F.col("__flat"), PREVIEW_END))
+    parts = rows.withColumn("__flat", flat).withColumn("__spans", P.spans_by(F.col("__flat"), end))
     scored = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), score(s["text"]).cast("double").alias("score")))
 
     @F.pandas_udf(_PREVIEW)
