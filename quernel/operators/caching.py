@@ -9,7 +9,8 @@ from .ranking import ranked
 
 
 def with_expiry(rows: DataFrame, key: str, time: str, order: str, ttl: int) -> DataFrame:
-    """rows (key, time, order) with `hit`: whether an entry not older than ttl was stored; a miss stores a new one.
+    """rows (key, time, order) with `hit`: whether an entry younger than ttl was stored; a miss stores a new one. Requests of
+    the same time follow each other by `order`, of any type that can be sorted.
 
     Requests of a key that are more than ttl after the one before always miss, so a key's log is cut there first: the
     fold runs over each such session by itself, however long the key's whole log is.
@@ -18,11 +19,11 @@ def with_expiry(rows: DataFrame, key: str, time: str, order: str, ttl: int) -> D
     fresh = F.coalesce(F.col(time) - F.lag(time).over(w) >= ttl, F.lit(True))
     cut = rows.select(key, time, order).withColumn("__n", F.sum(fresh.cast("int")).over(w))
     packed = cut.groupBy(key, "__n").agg(F.array_sort(F.collect_list(F.struct(time, order))).alias("__all"))
-    kind = f"struct<stored:bigint,out:array<struct<{order}:bigint,hit:boolean>>>"
+    kind = f"struct<stored:bigint,out:array<struct<{order}:{rows.schema[order].dataType.simpleString()},hit:boolean>>>"
 
     def step(state: Column, x: Column) -> Column:
         hit = F.coalesce(x[time] - state["stored"] < ttl, F.lit(False))
-        return F.struct(F.when(hit, state["stored"]).otherwise(x[time]).alias("stored"), F.concat(state["out"], F.array(F.struct(x[order].cast("long").alias(order), hit.alias("hit")))).alias("out")).cast(kind)
+        return F.struct(F.when(hit, state["stored"]).otherwise(x[time]).alias("stored"), F.concat(state["out"], F.array(F.struct(x[order].alias(order), hit.alias("hit")))).alias("out")).cast(kind)
 
     start = F.struct(F.lit(None).cast("long").alias("stored"), F.array().alias("out")).cast(kind)
     return packed.select(key, F.explode(F.aggregate("__all", start, step)["out"]).alias("x")).select(key, f"x.{order}", "x.hit")

@@ -9,7 +9,7 @@ from .. import extensions
 from ..functions import text as X
 from ..operators import caching, contracts, judging, ranking
 from ..sources import datasets
-from .catalogue import t
+from .catalogue import t, whole_seconds
 from .registry import query
 
 
@@ -195,8 +195,8 @@ f AS (SELECT user_id, n, event_id, s AS stored, false AS hit FROM e WHERE n = 1
 SELECT event_id, hit FROM f""")
 def probe_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a request meets an entry younger than a day; an entry dates from the miss that stored it."""
-    rows = t(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("long").alias("s"))
-    return caching.with_expiry(rows, "user_id", "s", "event_id", 86400).select("event_id", "hit")
+    rows = t(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), whole_seconds(F.col("ts")).alias("s"))
+    return caching.with_expiry(rows, "user_id", "s", "at", 86400).select("at.event_id", "hit")
 
 
 @query("""WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS seen, count(DISTINCT event_id % 3) > 1 AS mixed FROM events GROUP BY ALL) SELECT * FROM l""")

@@ -162,3 +162,22 @@ def test_results_are_kept_until_they_expire(spark, tmp_path):
     asked = stream(spark, tmp_path, batches, {"key": "string", "ts": "timestamp", "result": "string"})
     got = {r["ts"].minute: (r["hit"], r["value"]) for r in drained(caches.result_cache(asked, "key", "ts", "result"), tmp_path, "results")}
     assert got == {0: (False, None), 1: (False, "a"), 5: (True, "a"), 11: (False, "c")}
+
+
+def test_requests_expire_in_order_of_their_exact_time(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from quernel.plans import registry
+
+    at = lambda s, ms: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s, milliseconds=ms)
+    rows = [(1, at(0, 300), 1), (2, at(86399, 600), 1), (3, at(0, 200), 2), (4, at(0, 100), 2), (5, at(0, 600), 3), (6, at(86400, 400), 3), (8, at(0, 600), 9), (9, at(864000, 400), 9)]
+    rows += [(k, at(0, 900), 4) for k in range(20, 30)]
+    frame = spark.createDataFrame([(e, ts, u, "view", 1.0, "{}") for e, ts, u in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        for name in ("probe_cache", "response_cache"):
+            got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+            assert got == sorted(con.sql(registry.oracle_sql()[name]).fetchall()), name
