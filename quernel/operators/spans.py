@@ -6,7 +6,7 @@ row meets another, so there is no shuffle, and work grows with the length of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,8 +116,9 @@ def plain_heading(heading: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"\A[ #*.:]+|[ #*.:]+\z", ""))
 
 
-def section_verdict(heading: Column, text: Column) -> Column:
-    """struct<kind, reason> of a section with cleaned text: content, bibliography or web_boilerplate; the first rule that holds."""
+def section_verdict(heading: Column, text: Column, reasons: Collection[str] | None = None) -> Column:
+    """struct<kind, reason> of a section with cleaned text: content, bibliography or web_boilerplate; the first rule that holds,
+    of those that give one of `reasons`, or of all."""
     heading = F.coalesce(heading, F.lit(""))
     plain = F.regexp_replace(text, rf"(?sU)({CODE})|(?:{PLACEHOLDER})", "$1")
     unrendered = plain != text
@@ -137,26 +138,27 @@ def section_verdict(heading: Column, text: Column) -> Column:
         (titled & (chars <= 400) & (sentences == 0) & (F.regexp_count(text, F.lit(r"\S+")) >= 3), "web_boilerplate", "template_heading_and_short_list"),
     ]
     of = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
-    out = F.when(rules[0][0], of(*rules[0][1:]))
-    for test, kind, reason in rules[1:]:
-        out = out.when(test, of(kind, reason))
-    return out.otherwise(of("content", "insufficient_template_evidence"))
+    out = of("content", "insufficient_template_evidence")
+    for test, kind, reason in reversed(rules):
+        out = F.when(test, of(kind, reason)).otherwise(out) if reasons is None or reason in reasons else out
+    return out
 
 
-def preprocessed(sections: DataFrame, heading: str = "heading", text: str = "text") -> DataFrame:
+def preprocessed(sections: DataFrame, heading: str = "heading", text: str = "text", reasons: Collection[str] | None = None) -> DataFrame:
     """sections with their text cleaned, and what of it can be retrieved; no row is dropped or renumbered.
 
     New columns: kind, reason; spans, array<struct<start, end>> of body text; excluded, array<struct<start, end, reason>>
     of the rest; original_sha256, original_chars, cleaned_chars (of the spans), eligible. Left out of the body are image
     links, a link's rest at the start, unrendered placeholders (none of these where they begin inside code), and from a
-    mark of references with records after it everything to the end. A section that is no content has no spans.
+    mark of references with records after it everything to the end. A section that is no content has no spans; `reasons`
+    names the rules that judge it (see section_verdict).
     """
     own = lambda found, why: F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(why).alias("reason")))
     given, raw = F.col("__text"), F.coalesce(F.col(text), F.lit(""))
     found = sections.withColumn("__text", cleaned(F.col(text))).select(
         *sections.columns,
         "__text",
-        section_verdict(F.col(heading), given).alias("__verdict"),
+        section_verdict(F.col(heading), given, reasons).alias("__verdict"),
         P.matches(given, IMAGE, CODE).alias("__image"),
         P.matches(given, ORPHAN_IMAGE).alias("__orphan"),
         P.matches(given, PLACEHOLDER, CODE).alias("__placeholder"),
