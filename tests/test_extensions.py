@@ -181,3 +181,19 @@ def test_requests_expire_in_order_of_their_exact_time(spark, tmp_path):
         for name in ("probe_cache", "response_cache"):
             got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
             assert got == sorted(con.sql(registry.oracle_sql()[name]).fetchall()), name
+
+
+def test_packets_digest_every_text(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    from quernel.plans import registry
+
+    rows = [(1, k, "user", f"text {k}") for k in range(9)] + [(2, 0, "system", None), (2, 0, "system", "x"), (2, 1, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, registry.queries()["judge_packets"](spark, str(tmp_path)).collect()))
+    assert got[0] == (1, 5, True, hashlib.md5("|".join(f"text {k}" for k in range(9)).encode()).hexdigest())
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert got == sorted(con.sql(registry.oracle_sql()["judge_packets"]).fetchall())
