@@ -197,3 +197,17 @@ def test_packets_digest_every_text(spark, tmp_path):
     with duckdb.connect() as con:
         con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
         assert got == sorted(con.sql(registry.oracle_sql()["judge_packets"]).fetchall())
+
+
+def test_bindings_of_rows_with_and_without_a_source(spark, tmp_path):
+    """The digests are compared before the join: only whether they differ is shuffled, not two texts a row."""
+    from quernel.plans import registry
+
+    spark.range(40).selectExpr("id AS l_orderkey", "id % 7 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(0, 40, 2).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = registry.queries()["source_binding"](spark, str(tmp_path))
+    want = {k: "no source" if k % 2 or k % 7 == 0 else "hash" if k % 7 % 6 == 5 else "bound" for k in range(40)}
+    assert {r["l_orderkey"]: r["state"] for r in rows.collect()} == want
+    join = next(p for p in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in p)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan[: plan.index(join)] and "md5" in plan[plan.index(join) :]
