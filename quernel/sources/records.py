@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a record's parts are, by their place in it.
 SHAPE = "pmid string, title string, abstract array<struct<label:string,text:string>>, authors array<string>, year string, venue string, publication_year string, doi string, pmcid string, publication_types array<string>"
 _TEXTS = {"pmid": ".//PMID", "title": ".//Article//ArticleTitle", "year": ".//Article//Journal/JournalIssue/PubDate/Year", "venue": ".//Article//Journal/Title", "publication_year": ".//Article//ArticleDate/Year"}
+_TEXT, _PART = pa.string(), pa.struct([("label", pa.string()), ("text", pa.string())])
+_KINDS = {"abstract": pa.list_(_PART), "authors": pa.list_(_TEXT), "publication_types": pa.list_(_TEXT)}
+_FIELDS = [pa.field("place", pa.int32()), *[pa.field(n, _KINDS.get(n, _TEXT)) for n in (p.split()[0] for p in SHAPE.split(", "))], pa.field("fault", _TEXT)]
+#: A task hands on its records after so many characters of texts, or so many records.
+CHARS, ROWS = 4_000_000, 1000
 _IDS = {"doi": "doi", "pmc": "pmcid"}
 
 #: Designs by the words of publication types, the first that is met.
@@ -43,6 +48,15 @@ def _record(node: ElementTree.Element) -> dict:
     return out
 
 
+def _found(text: str | None) -> list[dict]:
+    """A text's records with their places, or its fault."""
+    try:
+        root = ElementTree.fromstring(text) if text is not None else None
+    except ElementTree.ParseError:
+        return [{"place": 0, "fault": "malformed"}]
+    return [] if root is None else [{"place": k} | _record(a) for k, a in enumerate(root.iter("PubmedArticle"))]
+
+
 def shredded(rows: DataFrame, key: list[str], xml: str = "xml") -> DataFrame:
     """key, place (from 0 in a text), the parts of SHAPE, and fault: a row a PubmedArticle, in order.
 
@@ -51,23 +65,23 @@ def shredded(rows: DataFrame, key: list[str], xml: str = "xml") -> DataFrame:
     parts the first; authors need both names; a record that stands twice gives two rows.
     """
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
-    names = [*key, "place", *[p.split()[0] for p in SHAPE.split(", ")], "fault"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                own = dict(zip(key, row[:-1], strict=True))
-                try:
-                    found = ElementTree.fromstring(row[-1]) if row[-1] is not None else None
-                except ElementTree.ParseError:
-                    out.append(own | {"place": 0, "fault": "malformed"})
-                    continue
-                if found is not None:
-                    out += [own | {"place": k} | _record(a) for k, a in enumerate(found.iter("PubmedArticle"))]
-            yield pd.DataFrame(out, columns=names).astype(object).where(lambda f: f.notna(), None)
-
-    return rows.select(*key, xml).mapInPandas(run, f"{kinds}, place int, {SHAPE}, fault string")
+            schema = pa.schema([*[batch.schema.field(c) for c in key], *_FIELDS])
+            given, texts = [batch.column(c) for c in key], batch.column(xml)
+            out, chars = [], 0
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                own = {c: values[i].as_py() for c, values in zip(key, given, strict=True)}
+                out += [own | found for found in _found(text)]
+                chars += len(text or "")
+                if chars >= CHARS or len(out) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, chars = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return rows.select(*key, xml).mapInArrow(run, f"{kinds}, place int, {SHAPE}, fault string")
 
 
 def design(types: Column) -> Column:

@@ -74,6 +74,21 @@ def test_shredding(spark):
     assert flat[6, 0]["pmid"] == flat[6, 1]["pmid"] == "7"
 
 
+def test_records_leave_a_task_in_small_batches(spark, monkeypatch):
+    """Batches of records are bounded by characters and by number, whatever a batch of texts holds."""
+    import pyarrow as pa
+
+    xml = RECORD.replace("Three", "Three " * 200)
+    monkeypatch.setattr(records, "CHARS", 4 * len(xml))
+    seen = {}
+    frame = spark.createDataFrame([(1, xml)], "k int, xml string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: seen.update(run=f) or self)
+    records.shredded(frame, ["k"])
+    batches = list(seen["run"](iter([pa.RecordBatch.from_pylist([{"k": i, "xml": xml} for i in range(10)])])))
+    assert [b.num_rows for b in batches] == [8, 8, 4]
+    assert [r for b in batches for r in b.column("k").to_pylist()] == [i for i in range(10) for _ in range(2)]
+
+
 def test_read_records(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RECORD)
     (tmp_path / "b.xml").write_text("<broken")
