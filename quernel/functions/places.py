@@ -16,13 +16,17 @@ from pyspark.sql import types as T
 
 #: What may stand between a sentence's terminal and its end, and abbreviations whose point ends none.
 CLOSERS = "\"”’」』】〉》）)\\]}"
+_CLOSERS = CLOSERS.replace("\\", "")
 ABBREVIATIONS = r"e\.g|i\.e|Dr|Mr|Ms|Prof|vs|et al"
+#: At most so many characters before a sentence's closers decide on its end: a terminal, an abbreviation, and what is before it.
+REACH = 8
 
 #: A sentence's end: the last of a row of ellipses; a terminal; a wide or small point that isn't between digits; or a point
 #: before white space, a closer or the text's end, but after no abbreviation. Closers follow, but not after ellipses.
+#: It begins with a point, a mark or no ASCII at all, so that other characters cost one look.
 SENTENCE_END = (
-    r"…(?!…)|(?:[!?。！？｡﹗﹖]|(?<!\p{Nd})[．﹒]|[．﹒](?!\p{Nd})"
-    rf"|(?<!\b(?i:{ABBREVIATIONS}))\.(?=[\s{CLOSERS}]|\z))[{CLOSERS}]*"
+    r"(?=[.!?\x{80}-\x{10FFFF}])(?:…(?!…)|(?:[!?。！？｡﹗﹖]|[．﹒](?:(?<!\p{Nd}[．﹒])|(?!\p{Nd}))"
+    rf"|\.(?=[\s{CLOSERS}]|\z)(?<!\b(?i:{ABBREVIATIONS})\.))[{CLOSERS}]*)"
 )
 
 _INTS = T.ArrayType(T.IntegerType())
@@ -90,6 +94,14 @@ def sentence_ends(text: Column) -> Column:
     return running_sum(F.transform(pieces, lambda s: F.length(s)))
 
 
+def search_from(text: Column, start: Column) -> Column:
+    """From where on a text is to be searched to find all of its sentence ends from start on: before closers that reach up
+    to start, before their terminal and an abbreviation. What sentence_ends gives before start may be wrong then."""
+    head = F.substr(text, F.lit(1), start)
+    bare = F.when(F.substr(text, start, F.lit(1)).rlike(f"[{CLOSERS}]"), F.length(F.rtrim(head, F.lit(_CLOSERS)))).otherwise(start)
+    return F.greatest(bare - REACH, F.lit(0))
+
+
 def sentence_spans(text: Column) -> Column:
     """array<struct<start, end, text>> of the sentences, and of a rest without a terminal."""
     return spans_by(text, SENTENCE_END)

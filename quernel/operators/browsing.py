@@ -66,24 +66,29 @@ def packed(parts: Sequence[Any], tokens: int, chars: int, count: Counter) -> lis
 def aligned(chunks: DataFrame, section_text: str) -> DataFrame:
     """chunks with `window`, their text from start_char to a sentence's end in their span, its `window_end`, and whether it
     is `open`: does not begin or end at a sentence's end. A window grows by GROWTH characters at most, else it shrinks."""
-    found = chunks.withColumn("__ends", P.sentence_ends(F.col(section_text)))
-    inside = F.filter("__ends", lambda p: p.between(F.col("span_start"), F.col("span_end")))
+    start, end, size, skipped = F.col("start_char"), F.col("end_char"), F.col("__length"), F.col("__skipped")
+    found = chunks.withColumns({"__length": F.length(section_text), "__skipped": P.search_from(F.col(section_text), start)})
+    # the character after the last end of interest decides on it
+    found = found.withColumn("__near", F.substr(F.col(section_text), skipped + 1, end + GROWTH + 1 - skipped))
+    found = found.withColumn("__ends", F.transform(P.sentence_ends(F.col("__near")), lambda p: p + skipped))
+    inside = F.filter("__ends", lambda p: (p >= start) & p.between(F.col("span_start"), F.col("span_end")))
     found = found.withColumn("__ends", inside)
-    start, end, size = F.col("start_char"), F.col("end_char"), F.length(section_text)
     stops = (end >= size) | F.array_contains("__ends", end)
     later = F.array_min(F.filter("__ends", lambda p: (p > end) & (p <= end + GROWTH)))
     earlier = F.array_max(F.filter("__ends", lambda p: (p > start) & (p <= end)))
     to = F.when(stops, end).otherwise(F.coalesce(later, earlier, end))
     begins = (start == 0) | F.array_contains("__ends", start)
     opened = ~begins | (~stops & later.isNull() & earlier.isNull())
-    return found.select(*chunks.columns, to.alias("window_end"), opened.alias("open"), F.trim(F.substr(F.col(section_text), start + 1, to - start)).alias("window"))
+    return found.select(*chunks.columns, to.alias("window_end"), opened.alias("open"), F.trim(F.substr("__near", start + 1 - skipped, to - start)).alias("window"))
 
 
 def first_of_sections(ranked: DataFrame, key: list[str], top_k: int, section: str = "section_index", rank: str = "rank") -> DataFrame:
     """The top_k of each key, in `place` from 0: the best of each section by rank, then the others by rank."""
-    first = F.row_number().over(Window.partitionBy(*key, section).orderBy(rank)) == 1
-    order = Window.partitionBy(*key).orderBy(F.col("__first").desc(), rank)
-    return ranked.withColumn("__first", first).withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < top_k).drop("__first")
+    nth = F.row_number().over(Window.partitionBy(*key, section).orderBy(rank))
+    own = ranked.withColumn("__nth", nth).filter(F.col("__nth") <= top_k)  # a section's others come after top_k of its own
+    order = Window.partitionBy(*key).orderBy((F.col("__nth") == 1).desc(), rank)
+    best = own.withColumn("__row", F.row_number().over(order)).filter(F.col("__row") <= top_k)
+    return best.withColumn("place", F.col("__row") - 1).drop("__nth", "__row")
 
 
 _PACKED = "array<struct<place:int,text:string,reason:string,token_cap:int,character_cap:int>>"
@@ -92,15 +97,16 @@ _PACKED = "array<struct<place:int,text:string,reason:string,token_cap:int,charac
 def pack(ranked: DataFrame, sections: DataFrame, key: list[str], section_key: list[str], max_tokens: int = 700, max_chars: int = 4200, top_k: int = 3, by: str = counting.CHARACTERS) -> DataFrame:
     """What a reader is shown of ranked chunks, a row a chosen chunk, in `place`; a chunk that shows nothing keeps its row.
 
-    ranked: key, section_key (ending in section_index), chunk_index, start_char, end_char, span_start, span_end, chunk, rank,
-    a chunk once a key; sections: section_key, text. Only chosen chunks meet their section's text. Both budgets hold for
+    ranked: key, section_key (ending in section_index), chunk_index, start_char, end_char, span_start, span_end, rank, a
+    chunk once a key; other columns, such as its text, are carried along. sections: section_key, text. Only chosen chunks
+    meet their section's text, and only what is near them is searched for sentence ends. Both budgets hold for
     each key's texts together. Columns: those of ranked, place, text, from start_char to text_end, reason (kept,
     budget_exhausted or invalid_boundary_window), token_cap, character_cap, and open: not whole sentences.
     """
     if min(max_tokens, max_chars, top_k) < 1:
         raise ValueError("budgets and top_k are 1 at least")
     chosen = first_of_sections(ranked, key, top_k).join(sections.select(*section_key, F.col("text").alias("__section")), section_key)
-    windows = aligned(chosen, "__section").withColumn("__size", F.length("__section")).drop("__section")
+    windows = aligned(chosen.withColumn("__size", F.length("__section")), "__section").drop("__section")
     windows = windows.withColumn("window_ends", P.sentence_ends(F.col("window")))
 
     @F.pandas_udf(_PACKED)
@@ -114,7 +120,7 @@ def pack(ranked: DataFrame, sections: DataFrame, key: list[str], section_key: li
     each = done.select(*key, F.explode(F.arrays_zip(F.array_sort("__parts").alias("p"), F.col("__done").alias("d"))).alias("__x"))
     rows = each.select(*key, *[F.col(f"__x.p.{c}").alias(c) for c in windows.columns if c not in key], F.col("__x.d.text").alias("text"), *[F.col(f"__x.d.{c}").alias(c) for c in ("reason", "token_cap", "character_cap")])
     whole = F.array_contains(P.sentence_ends(F.col("text")), F.length("text"))
-    shortened = (F.length("text") < F.length("chunk")) | (F.col("end_char") < F.col("__size"))
+    shortened = (F.length("text") < F.col("end_char") - F.col("start_char")) | (F.col("end_char") < F.col("__size"))
     opened = (F.col("open") & (F.col("window") != "")) | ((F.col("text") != "") & ~whole & shortened)
     return rows.withColumns({"open": opened, "text_end": F.col("start_char") + F.length("text")}).drop("window", "window_ends", "window_end", "__size")
 
